@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions import fixed_values as V
 from sourceloom.functions import scalars as S
+from sourceloom.session import stored
 
 _LISTING = """repository_id string, path string, content binary, mode int, declared_bytes long,
               problem string"""
@@ -41,12 +42,12 @@ def explode_archives(archives: DataFrame, max_members: int = V.MAX_ARCHIVE_MEMBE
                      max_archive: int = V.MAX_ARCHIVE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(entries, rejects) of a table (repository_id, content BINARY), one archive per repository.
 
-    Python only opens the ZIP container; every rule is a Spark expression and one bad member
-    rejects its whole archive.
+    Python only opens the ZIP container, once: its members are written to the shared folder. Every
+    rule is a Spark expression and one bad member rejects its whole archive.
     """
     within = F.octet_length("content") <= max_archive
-    listed = (archives.where(within).select("repository_id", "content").mapInPandas(
-        lambda batches: _members(batches, max_members, max_extracted), _LISTING))
+    listed = stored(archives.where(within).select("repository_id", "content").mapInPandas(
+        lambda batches: _members(batches, max_members, max_extracted), _LISTING), "archive-members")
     unsafe = F.col("path").startswith("/") | F.array_contains(F.split("path", "/"), "..")
     link = F.col("mode").bitwiseAND(0o170000) == stat.S_IFLNK
     verdicts = listed.groupBy("repository_id").agg(
