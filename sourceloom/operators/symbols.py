@@ -92,14 +92,17 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
-def extract_symbols(files: DataFrame) -> DataFrame:
-    """Tagged symbol rows of all decoded Python files of ``describe_files`` output."""
-    python = files.where((F.col("language") == "Python") & F.col("text").isNotNull())
-    return python.select("repository_id", "path", "text").mapInArrow(_parse_batches, SYMBOL_SCHEMA)
-
+def extract_symbols(files: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Tagged symbol rows of all decoded Python files of ``describe_files`` output.
 
-def _module() -> Column:
-    return S.module_name(F.col("path"))
+    Parsing costs far more than moving the text, so ``partitions`` spreads the files by path first
+    when the scan alone gives too few tasks for the cores at hand.
+    """
+    python = files.where((F.col("language") == "Python") & F.col("text").isNotNull())
+    python = python.select("repository_id", "path", "text")
+    if partitions:
+        python = python.repartition(partitions, "repository_id", "path")
+    return python.mapInArrow(_parse_batches, SYMBOL_SCHEMA)
 
 
 def _joined() -> Column:

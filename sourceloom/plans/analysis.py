@@ -46,14 +46,14 @@ class Analysis:
                 "repository_languages": self.languages(), "repository_metrics": self.metrics()}
 
 
-def analyze(raw: DataFrame, max_bytes: int = V.MAX_FILE_BYTES) -> Analysis:
+def analyze(raw: DataFrame, max_bytes: int = V.MAX_FILE_BYTES, parse_partitions: int | None = None) -> Analysis:
     """Scan, describe, parse and roll up a raw (repository_id, path, content BINARY) table.
 
     Symbols are written once so the parse stage runs once; the four entity tables are filters on it.
     """
     found, scan_warnings = scan_source_tree(raw)
     described = describe_files(found, max_bytes)
-    symbols = stored(X.extract_symbols(described), "symbols", ("kind",))
+    symbols = stored(X.extract_symbols(described, parse_partitions), "symbols", ("kind",))
     files = X.with_parse_status(described.drop("text"), symbols)
     warnings, counts = collect_warnings(scan_warnings, X.parse_warnings(files))
     return Analysis(files, R.folder_rollup(files), X.functions_of(symbols), X.classes_of(symbols),

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sourceloom.functions.ranking import first_per_group
+from sourceloom.operators.degrees import degrees
 from sourceloom.plans.analysis import Analysis, Graph, analyze, build_graph
 from sourceloom.session import prepare, stored
 
@@ -194,17 +196,41 @@ def estate(spark: SparkSession, folder: str) -> Graph:
         stored(load(spark, folder, "edges"), "estate-edges", ("relationship_type",))))
 
 
+def roots(spark: SparkSession, folder: str) -> DataFrame:
+    """The most connected node of each entity type of the estate graph: (root, entity_type)."""
+    def build() -> DataFrame:
+        graph = estate(spark, folder)
+        best = first_per_group(degrees(graph.nodes, graph.edges), ["entity_type"],
+                               F.struct(-F.col("total_degree"), F.col("node_id")), ["node_id"])
+        return stored(best.select(F.col("node_id").alias("root"), "entity_type"), "estate-roots")
+    return _once(spark, folder, "roots", build)
+
+
+DEGREES = """
+with deg as (
+  select n.repository_id, n.node_id, n.entity_type, coalesce(i.c, 0) as in_degree, coalesce(o.c, 0) as out_degree,
+    coalesce(i.c, 0) + coalesce(o.c, 0) as total_degree
+  from nodes n left join (select dst, count(*) as c from edges group by dst) i on i.dst = n.node_id
+  left join (select src, count(*) as c from edges group by src) o on o.src = n.node_id),
+roots as (
+  select node_id as root, entity_type from (
+    select *, row_number() over (partition by entity_type order by total_degree desc, node_id) as r from deg) t where r = 1)
+"""
+
+
 def raw_files(spark: SparkSession, folder: str, name: str = "files") -> DataFrame:
     """(repository_id, path, content BINARY) of the prose files or of the Python sources."""
     return load(spark, folder, name).select("repository_id", "path", F.col("text").cast("binary").alias("content"))
 
 
 def prose_run(spark: SparkSession, folder: str) -> Analysis:
-    return _once(spark, folder, "prose", lambda: analyze(raw_files(spark, folder)))
+    return _once(spark, folder, "prose", lambda: analyze(
+        raw_files(spark, folder), parse_partitions=spark.sparkContext.defaultParallelism))
 
 
 def source_run(spark: SparkSession, folder: str) -> Analysis:
-    return _once(spark, folder, "sources", lambda: analyze(raw_files(spark, folder, "sources")))
+    return _once(spark, folder, "sources", lambda: analyze(
+        raw_files(spark, folder, "sources"), parse_partitions=spark.sparkContext.defaultParallelism))
 
 
 def source_graph(spark: SparkSession, folder: str) -> Graph:

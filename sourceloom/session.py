@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A counted side of at most this many short rows may be broadcast (a few MB).
@@ -49,12 +49,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """Checkpoint ``df`` and return it with its row count, both from the same job."""
+def cut_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """Checkpoint ``df`` and return it with aggregate ``metrics`` measured by the same job."""
     checkpoint_folder(df.sparkSession)
     seen = Observation()
-    kept = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint()
-    return kept, int(seen.get["rows"])
+    kept = df.observe(seen, *[metric.alias(name) for name, metric in metrics.items()]).checkpoint()
+    return kept, dict(seen.get)
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Checkpoint ``df`` and return it with its row count, both from the same job."""
+    kept, measured = cut_observed(df, rows=F.count(F.lit(1)))
+    return kept, int(measured["rows"])
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
