@@ -60,6 +60,18 @@ def latest_run(runs: DataFrame, time_column: str = "started_at", statuses=None)
     return kept.groupBy(REPO).agg(F.max_by(F.struct(*columns), latest).alias("_r")).select(REPO, "_r.*")
 
 
+def nested_report(heads: DataFrame, parts: dict[str, DataFrame], key: str = REPO) -> DataFrame:
+    """One record per head row with each part's rows of the same key as a sorted list of structs.
+
+    Parts are summary tables (languages, metrics, cycles kept) with few rows per key.
+    """
+    table = heads
+    for name, rows in parts.items():
+        entry = F.struct(*[c for c in rows.columns if c != key])
+        table = table.join(rows.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias(name)), key, "left")
+    return table
+
+
 def active_runs(runs: DataFrame) -> DataFrame:
     return runs.where(F.col("status").isin(*V.ACTIVE_STATUSES))
 

@@ -149,7 +149,7 @@ def imports_search(spark, folder):
 
 
 # ---- graph building ------------------------------------------------------------------------
-_NODES = """, g_nodes as (
+SOURCE_NODES = """, g_nodes as (
   select distinct repository_id, concat('repository:', repository_id) as entity_key, 'repository' as entity_type, 'Repository' as label from o
   union all select repository_id, concat('file:', file_path), 'file', file_path from o
   union all select repository_id, concat('file:', pkg, '/__init__.py'), 'file', concat(pkg, '/__init__.py') from packs
@@ -161,7 +161,7 @@ _NODES = """, g_nodes as (
   union all select distinct repository_id, 'package:os', 'package', 'os' from o
   union all select distinct repository_id, 'package:unknown', 'package', 'unknown' from o)
 """
-_EDGES = """, g_fwd as (
+SOURCE_EDGES = """, g_fwd as (
   select repository_id, concat('file:', file_path) as src, concat('module:', module) as dst, 'contains' as t from o
   union all select repository_id, concat('file:', pkg, '/__init__.py'), concat('module:', pkg), 'contains' from packs
   union all select repository_id, concat('package:', pkg), concat('module:', module), 'contains' from o
@@ -195,7 +195,7 @@ g_edges as (
 
 
 def _edges_of(types: str) -> str:
-    return _check(f"select repository_id, src, dst, relationship_type from g_edges where relationship_type in ({types})", _EDGES)
+    return _check(f"select repository_id, src, dst, relationship_type from g_edges where relationship_type in ({types})", SOURCE_EDGES)
 
 
 def _built(frame, nodes):
@@ -203,7 +203,7 @@ def _built(frame, nodes):
     return G.valid_edges(G.dedupe_edges(frame), nodes).select("repository_id", "src", "dst", "relationship_type")
 
 
-@query("build_nodes", _check("select * from g_nodes", _NODES))
+@query("build_nodes", _check("select * from g_nodes", SOURCE_NODES))
 def build_nodes(spark, folder):
     run = source_run(spark, folder)
     return G.build_nodes(run.files, run.modules, run.classes, run.functions, run.imports).select(
@@ -274,7 +274,7 @@ def import_lines(spark, folder):
 
 @query("build_edges", _check("""
 select repository_id, concat(repository_id, '/', src) as src, concat(repository_id, '/', dst) as dst, relationship_type,
-  split_part(src, ':', 1) as source_type, split_part(dst, ':', 1) as target_type, 1 as depth, 1.0 as weight from g_edges""", _EDGES))
+  split_part(src, ':', 1) as source_type, split_part(dst, ':', 1) as target_type, 1 as depth, 1.0 as weight from g_edges""", SOURCE_EDGES))
 def build_edges(spark, folder):
     return source_graph(spark, folder).edges.select(
         "repository_id", "src", "dst", "relationship_type", "source_type", "target_type", "depth", "weight")
@@ -282,7 +282,7 @@ def build_edges(spark, folder):
 
 @query("inverse_edges", _check("""
 select repository_id, dst as src, src as dst, case relationship_type when 'imports' then 'imported_by' else 'used_by' end as relationship_type
-from g_edges where relationship_type in ('imports', 'uses')""", _EDGES))
+from g_edges where relationship_type in ('imports', 'uses')""", SOURCE_EDGES))
 def inverse_edges(spark, folder):
     edges = source_graph(spark, folder).edges
     bare = lambda c: F.regexp_replace(c, "^[^/]*/", "").alias(c)
@@ -298,14 +298,14 @@ def call_edges(spark, folder):
 
 
 @query("source_relationship_distribution", _check("""
-select repository_id, relationship_type, count(*) as edge_count from g_edges group by repository_id, relationship_type""", _EDGES))
+select repository_id, relationship_type, count(*) as edge_count from g_edges group by repository_id, relationship_type""", SOURCE_EDGES))
 def source_relationship_distribution(spark, folder):
     return D.relationship_distribution(source_graph(spark, folder).edges)
 
 
 @query("source_graph_counts", _check("""
 select n.repository_id, n.c as total_nodes, e.c as total_edges from (select repository_id, count(*) as c from g_nodes group by 1) n
-join (select repository_id, count(*) as c from g_edges group by 1) e on e.repository_id = n.repository_id""", _NODES + _EDGES))
+join (select repository_id, count(*) as c from g_edges group by 1) e on e.repository_id = n.repository_id""", SOURCE_NODES + SOURCE_EDGES))
 def source_graph_counts(spark, folder):
     graph = source_graph(spark, folder)
     return D.graph_counts(graph.nodes, graph.edges)
