@@ -258,7 +258,7 @@ def violation_summary(spark, folder):
 
 # ---- graph snapshots -----------------------------------------------------------------------
 # The old snapshot holds run 1 of all nodes but those of some classes; the batch is run 2 of all but the functions.
-_OLD = "not (entity_type = 'class' and node_id like '%3')"
+_OLD = "not (entity_type = 'class' and name like '%Service')"
 _NEW = "entity_type <> 'function'"
 
 
@@ -292,13 +292,14 @@ def _edge_snapshot(edges, run: int):
 
 @query("upsert_edges", with_inputs("""
 with m as (select *, relationship_type <> 'uses' as is_old,
-  relationship_type <> 'calls' and src not like 'class:%5' and dst not like 'class:%5' as is_new from edges)
+  relationship_type <> 'calls' and src not in (select node_id from nodes where name like '%Repo')
+    and dst not in (select node_id from nodes where name like '%Repo') as is_new from edges)
 select src, dst, relationship_type, case when is_old then 'edge-1' else 'edge-2' end as edge_id, case when is_new then 2.0 else 1.0 end as weight,
-  case when is_new then 'run-2' else 'run-1' end as analysis_run_id from m where is_old or is_new""", "edges"))
+  case when is_new then 'run-2' else 'run-1' end as analysis_run_id from m where is_old or is_new""", "nodes", "edges"))
 def upsert_edges(spark, folder):
     nodes, edges = load(spark, folder, "nodes"), load(spark, folder, "edges")
     merged = SN.upsert_edges(_edge_snapshot(edges.where("relationship_type <> 'uses'"), 1), _edge_snapshot(edges.where("relationship_type <> 'calls'"), 2),
-                             nodes.where("not (entity_type = 'class' and node_id like '%5')"))
+                             nodes.where("name not like '%Repo'"))
     return merged.select("src", "dst", "relationship_type", "edge_id", "weight", "analysis_run_id")
 
 

@@ -63,19 +63,19 @@ def flatten_metadata(spark, folder):
 
 @query("flatten_edges", with_inputs(f"""
 select src as source_key, dst as target_key, {_TYPES} as edge_type from edges
-where src not like 'function:%9' and dst not like 'function:%9'""", "edges"))
+where src not like 'module:%' and dst not like 'module:%'""", "edges"))
 def flatten_edges(spark, folder):
     graph = estate(spark, folder)
-    known = graph.nodes.where("not (entity_type = 'function' and node_id like '%9')")
+    known = graph.nodes.where("entity_type <> 'module'")
     return G.flatten_edges(graph.edges, known).select("source_key", "target_key", "edge_type")
 
 
 @query("valid_edges", with_inputs("""
-select src, dst, relationship_type from edges where src not like 'class:%7' and dst not like 'class:%7'
+select src, dst, relationship_type from edges where src not like 'package:%' and dst not like 'package:%'
 and relationship_type <> 'belongs_to' and src <> dst""", "edges"))
 def valid_edges(spark, folder):
     graph = estate(spark, folder)
-    kept = graph.nodes.where("not (entity_type = 'class' and node_id like '%7')")
+    kept = graph.nodes.where("entity_type <> 'package'")
     kind = F.when(F.col("relationship_type") == "belongs_to", "located_in").otherwise(F.col("relationship_type"))
     return G.valid_edges(graph.edges.withColumn("relationship_type", kind), kept).select("src", "dst", "relationship_type")
 
@@ -92,12 +92,12 @@ def dedupe_edges(spark, folder):
 
 
 @query("filter_graph", with_inputs("""
-with k as (select node_id from nodes where entity_type in ('file', 'module') and name not like '%5')
+with k as (select node_id from nodes where entity_type in ('file', 'module') and name not like '%widget')
 select src, dst, relationship_type from edges where relationship_type = 'contains'
 and src in (select node_id from k) and dst in (select node_id from k)""", "nodes", "edges"))
 def filter_graph(spark, folder):
     graph = estate(spark, folder)
-    return G.filter_graph(graph.nodes, graph.edges, F.col("entity_type").isin("file", "module") & ~F.col("name").endswith("5"),
+    return G.filter_graph(graph.nodes, graph.edges, F.col("entity_type").isin("file", "module") & ~F.col("name").endswith("widget"),
                           F.col("relationship_type") == "contains")[1].select("src", "dst", "relationship_type")
 
 
