@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sourceloom.functions import fixed_values as V
 from sourceloom.functions import scalars as S
 from sourceloom.functions.ranking import top_per_group
-from sourceloom.session import cut_counted, small_side
+from sourceloom.session import cut_counted, small_side, stored
 
 
 def links(edges: DataFrame, direction: str = "outgoing", rel_types=None) -> DataFrame:
@@ -95,9 +95,9 @@ def dfs(edges: DataFrame, seeds: DataFrame, depth: int = 3, direction: str = "ou
     """
     pairs = links(edges, direction, rel_types)
     members = reach(pairs, seeds, S.clamp_depth(depth), include_root=True).select("root", "node")
-    inside = (pairs.distinct().join(members.withColumnRenamed("node", "src"), "src")
+    inside = (pairs.join(members.withColumnRenamed("node", "src"), "src")
               .join(members.withColumnRenamed("node", "dst"), ["root", "dst"], "left_semi")
-              .select("root", "src", "dst"))
+              .select("root", "src", "dst").distinct())
     inside, _ = cut_counted(inside)
     best, rows = cut_counted(seeds.select("root", F.col("root").alias("node"), F.array("root").alias("path")).distinct())
     changed = best
@@ -188,7 +188,7 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 6) -> Dat
 
     Each level keeps the smallest path per (pair, node); a pair leaves the search once it is met.
     """
-    step_links = links(edges).distinct()
+    step_links = links(edges)
     asked = pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct()
     frontier, rows = cut_counted(asked.select("a", "b", F.col("a").alias("node"), F.array("a").alias("path")))
     seen, found = [frontier.select("a", "b", "node")], []
@@ -224,7 +224,7 @@ def all_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 5) -> DataFra
     is expanded.
     """
     max_depth = S.clamp_depth(max_depth)
-    step_links = links(edges).distinct()
+    step_links = links(edges)
     asked = pairs.select("src", "dst").where("src <> dst").distinct()
     targets = asked.select(F.col("dst").alias("root")).distinct()
     remaining, _ = cut_counted(reach(links(edges, "incoming"), targets, max_depth, include_root=True).select(
@@ -235,7 +235,7 @@ def all_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 5) -> DataFra
     for level in range(1, max_depth + 1):
         step = (step_links.join(small_side(frontier, rows), step_links["src"] == frontier["node"])
                 .where(~F.array_contains("path", F.col("dst")))
-                .select("a", "b", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")))
+                .select("a", "b", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")).distinct())
         useful = step.join(remaining.where(F.col("left") <= max_depth - level), ["b", "node"], "left_semi")
         grown, rows = cut_counted(useful)
         if rows == 0:
@@ -329,7 +329,7 @@ def dependency_tree(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataF
 
 def smallest_paths(pairs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(root, node, depth, path): the smallest among the shortest paths to every node in reach."""
-    step_links = pairs.distinct()
+    step_links = pairs
     frontier, rows = cut_counted(seeds.select("root", F.col("root").alias("node"), F.array("root").alias("path")).distinct())
     seen, found = [frontier.select("root", "node")], [_leveled(frontier, 0)]
     for level in range(1, depth + 1):
@@ -355,7 +355,7 @@ def request_flows(components: DataFrame, edges: DataFrame, max_entries: int = V.
     entries, _ = cut_counted(entries.select("repository_id", F.col("node_id").alias("root"), "name",
                                             F.col("layer").alias("entry_layer")))
     ids = components.select("node_id")
-    inner = links(edges_within(edges.select("src", "dst", "relationship_type"), ids))
+    inner = stored(links(edges_within(edges.select("src", "dst", "relationship_type"), ids)), "component-links")
     reached = smallest_paths(inner, entries, max_nodes - 1)
     best = reached.groupBy("root").agg(F.min_by("path", F.struct(-F.col("depth"), F.col("path"))).alias("path"))
     steps = best.select("root", F.posexplode("path").alias("position", "node")).join(layers, "node")

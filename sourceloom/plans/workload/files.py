@@ -246,7 +246,8 @@ def _zip_documents(batches):
 
 def _archives(spark, folder):
     prepare(spark)
-    return table(spark, folder, "documents").select("doc_id", "text").mapInPandas(
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return documents.repartition(spark.sparkContext.defaultParallelism, "doc_id").mapInPandas(
         _zip_documents, "repository_id string, content binary")
 
 
