@@ -15,21 +15,17 @@ REPO = "repository_id"
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """In, out and total degree of every node, zero degrees kept.
 
-    Nodes and both edge ends go through one map-side combined aggregate: one shuffle, no join, and
-    a hub node arrives as one partial row per input partition.
+    Edge ends are counted by a map-side combined hash aggregate, so a hub arrives as one partial row
+    per input partition; the counts are then already partitioned for the join with the nodes.
     """
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    present = nodes.select("node_id", REPO, "entity_type", zero.alias("i"), zero.alias("o"))
     ends = F.array(F.struct(F.col("src").alias("node_id"), zero.alias("i"), one.alias("o")),
                    F.struct(F.col("dst").alias("node_id"), one.alias("i"), zero.alias("o")))
-    missing = F.lit(None).cast("string")
-    touched = edges.select(F.explode(ends).alias("e")).select(
-        "e.node_id", missing.alias(REPO), missing.alias("entity_type"), "e.i", "e.o")
-    return (present.unionByName(touched).groupBy("node_id").agg(
-        F.max(REPO).alias(REPO), F.max("entity_type").alias("entity_type"),
-        F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
-        .where(F.col(REPO).isNotNull())
-        .withColumn("total_degree", F.col("in_degree") + F.col("out_degree")))
+    counts = (edges.select(F.explode(ends).alias("e")).groupBy(F.col("e.node_id").alias("node_id"))
+              .agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree")))
+    return (nodes.select("node_id", REPO, "entity_type").join(counts, "node_id", "left")
+            .na.fill(0, ["in_degree", "out_degree"])
+            .withColumn("total_degree", F.col("in_degree") + F.col("out_degree")))
 
 
 def most_referenced(degree_table: DataFrame, entity_types: tuple[str, ...] = ("file", "function")) -> DataFrame:

@@ -260,17 +260,28 @@ def chain(edges: DataFrame, seeds: DataFrame, rel_types, out_role: str, in_role:
           transitive_in: bool = True) -> DataFrame:
     """(root, role, node): direct neighbours both ways and nodes at walk length 2..max_depth.
 
-    Transitive roles exclude the root but may repeat direct neighbours and nodes on cycles.
+    Both directions advance in one loop, told apart by their role. Transitive roles exclude the root
+    but may repeat direct neighbours and nodes on cycles.
     """
-    def one_way(direction: str, role: str, transitive: bool) -> DataFrame:
-        levels = walk_levels(links(edges, direction, rel_types), seeds, S.clamp_depth(max_depth) if transitive else 1)
-        direct = levels.where("depth = 1").select("root", F.lit(role).alias("role"), "node")
-        if not transitive:
-            return direct
-        far = levels.where("depth > 1 and node <> root").select("root", F.lit(f"transitive_{role}").alias("role"), "node")
-        return direct.unionByName(far.distinct())
-
-    return one_way("outgoing", out_role, True).unionByName(one_way("incoming", in_role, transitive_in))
+    kept = edges.where(S.edge_type(F.col("relationship_type")).isin(*S.known_edge_types(rel_types)))
+    ends = F.array(F.struct(F.lit(out_role).alias("role"), "src", "dst"),
+                   F.struct(F.lit(in_role).alias("role"), F.col("dst").alias("src"), F.col("src").alias("dst")))
+    pairs = kept.select(F.explode(ends).alias("e")).select("e.*")
+    roles = F.explode(F.array(F.lit(out_role), F.lit(in_role)))
+    frontier, rows = cut_counted(seeds.select("root", roles.alias("role"), F.col("root").alias("src")).distinct())
+    found = []
+    for level in range(1, S.clamp_depth(max_depth) + 1):
+        step = pairs.join(small_side(frontier, rows), ["role", "src"]).select("root", "role", F.col("dst").alias("src")).distinct()
+        frontier, rows = cut_counted(step)
+        if rows == 0:
+            break
+        found.append(_leveled(frontier, level))
+        if level == 1 and not transitive_in:
+            frontier = frontier.where(F.col("role") == out_role)
+    levels = _union(found, _leveled(frontier, 0)).withColumnRenamed("src", "node")
+    direct = levels.where("depth = 1").select("root", "role", "node")
+    far = levels.where("depth > 1 and node <> root").select("root", F.concat(F.lit("transitive_"), "role").alias("role"), "node")
+    return direct.unionByName(far.distinct())
 
 
 def dependency_chain(edges: DataFrame, seeds: DataFrame, max_depth: int = V.MAX_DEPTH) -> DataFrame:

@@ -67,7 +67,7 @@ def ordered_dfs(pairs, start):
     return order
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_random_graph(spark, seed):
     ids, pairs = random_graph(seed)
     nodes, edges = frames(spark, ids, pairs)
