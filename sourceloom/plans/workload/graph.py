@@ -525,7 +525,7 @@ select array_to_string(path, '>') as cycle_path, 'file' as cycle_type, length, c
 from closed""", "edges", recursive=True))
 def cycles(spark, folder):
     graph = estate(spark, folder)
-    return K.cycles(graph.edges, graph.nodes).withColumn("cycle_path", F.array_join("cycle_path", ">"))
+    return K.cycles_report(K.cycles(graph.edges, graph.nodes)).withColumn("cycle_path", F.array_join("cycle_path", ">"))
 
 
 @query("cycle_edges", with_inputs(_CYCLES + """

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import stat
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,22 +20,38 @@ _LISTING = """repository_id string, path string, content binary, mode int, decla
               problem string"""
 
 
+_COLUMNS = ["repository_id", "path", "content", "mode", "declared_bytes", "problem"]
+#: Extracted bytes gathered before a batch is handed back to Spark.
+_FLUSH_BYTES = 16 * 1024 * 1024
+
+
+def _open_archive(repository_id: str, blob: bytes, max_members: int, max_extracted: int) -> Iterator[tuple]:
+    """Member rows of one archive; contents are read only when the declared sizes allow it."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(blob)) as archive:
+            listing = archive.infolist()
+            readable = len(listing) <= max_members and sum(m.file_size for m in listing) <= max_extracted
+            for member in listing:
+                body = archive.read(member) if readable and not member.is_dir() else None
+                yield (repository_id, member.filename.replace("\\", "/"), body, member.external_attr >> 16, member.file_size, None)
+            if not listing:
+                yield (repository_id, None, None, 0, 0, None)
+    except (zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError, ValueError, RuntimeError):
+        yield (repository_id, None, None, 0, 0, V.ARCHIVE_CORRUPT)
+
+
 def _members(batches: Iterator[pd.DataFrame], max_members: int, max_extracted: int) -> Iterator[pd.DataFrame]:
-    columns = ["repository_id", "path", "content", "mode", "declared_bytes", "problem"]
+    rows, size = [], 0
     for batch in batches:
         for repository_id, blob in zip(batch["repository_id"], batch["content"]):
-            try:
-                with zipfile.ZipFile(io.BytesIO(blob)) as archive:
-                    listing = archive.infolist()
-                    readable = (0 < len(listing) <= max_members
-                                and sum(m.file_size for m in listing) <= max_extracted)
-                    yield pd.DataFrame([
-                        (repository_id, m.filename.replace("\\", "/"),
-                         archive.read(m) if readable and not m.is_dir() else None,
-                         m.external_attr >> 16, m.file_size, None)
-                        for m in listing] or [(repository_id, None, None, 0, 0, None)], columns=columns)
-            except (zipfile.BadZipFile, NotImplementedError, EOFError, ValueError, RuntimeError):
-                yield pd.DataFrame([(repository_id, None, None, 0, 0, V.ARCHIVE_CORRUPT)], columns=columns)
+            for row in _open_archive(repository_id, blob, max_members, max_extracted):
+                rows.append(row)
+                size += len(row[2] or b"")
+                if size > _FLUSH_BYTES or len(rows) >= 5_000:
+                    yield pd.DataFrame(rows, columns=_COLUMNS)
+                    rows, size = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def explode_archives(archives: DataFrame, max_members: int = V.MAX_ARCHIVE_MEMBERS,

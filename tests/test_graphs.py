@@ -115,3 +115,20 @@ def test_empty_and_missing_roots(spark):
     assert T.bfs(nodes, edges, seeds(spark, "9"), 3).count() == 0
     assert T.dependency_tree(edges, seeds(spark, "9"), 3).count() == 0
     assert K.strong_components(edges.select("src", "dst")).count() == 0
+
+
+def test_neighborhood_modes_agree(spark):
+    nodes, edges = frames(spark, "12345", [("1", "2"), ("2", "3"), ("3", "4"), ("5", "1")])
+    for mode in ("bfs", "dfs"):
+        found, inner = T.neighborhood(nodes, edges, seeds(spark, "1"), 2, "both", mode=mode)
+        assert {r["node"] for r in found.collect()} == {"2", "3", "5"}
+        assert {(r["src"], r["dst"]) for r in inner.collect()} == {("1", "2"), ("2", "3"), ("5", "1")}
+
+
+def test_hub_holding_most_edges(spark):
+    """A hub with most of the edges gives whole results."""
+    spokes = [f"s{i}" for i in range(400)]
+    nodes, edges = frames(spark, ["hub", *spokes], [("hub", s) for s in spokes] + [(s, "hub") for s in spokes[:50]])
+    assert T.reach(T.links(edges), seeds(spark, "s0"), 2).count() == 400
+    assert T.neighbors_report(edges, seeds(spark, "hub"), 500).count() == 450
+    assert K.component_sizes(K.connected_components(nodes, edges)).first()["size"] == 401
