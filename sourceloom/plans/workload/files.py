@@ -184,9 +184,11 @@ def parse_status_counts(spark, folder):
     return prose_run(spark, folder).files.groupBy("repository_id", "parse_status").agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("parse_warnings")
+@query("parse_warnings", _check("""
+select repository_id, path, 'parse_error' as code, true as explained from described where language = 'Python'"""))
 def parse_warnings(spark, folder):
-    return X.parse_warnings(prose_run(spark, folder).files)
+    rows = X.parse_warnings(prose_run(spark, folder).files)
+    return rows.select("repository_id", "path", "code", F.col("message").isNotNull().alias("explained"))
 
 
 @query("ilike_search_files", _check("select repository_id, path from described where path ilike '%m3/F1%'"))
