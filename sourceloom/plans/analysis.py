@@ -49,12 +49,13 @@ class Analysis:
 def analyze(raw: DataFrame, max_bytes: int = V.MAX_FILE_BYTES, parse_partitions: int | None = None) -> Analysis:
     """Scan, describe, parse and roll up a raw (repository_id, path, content BINARY) table.
 
-    Symbols are written once so the parse stage runs once; the four entity tables are filters on it.
+    Symbols and described files are written once, so contents are parsed and hashed once; the entity
+    tables are filters on what was written.
     """
     found, scan_warnings = scan_source_tree(raw)
     described = describe_files(found, max_bytes)
     symbols = stored(X.extract_symbols(described, parse_partitions), "symbols", ("kind",))
-    files = X.with_parse_status(described.drop("text"), symbols)
+    files = stored(X.with_parse_status(described.drop("text"), symbols), "files")
     warnings, counts = collect_warnings(scan_warnings, X.parse_warnings(files))
     return Analysis(files, R.folder_rollup(files), X.functions_of(symbols), X.classes_of(symbols),
                     X.modules_of(symbols), X.imports_of(symbols), warnings, counts)
