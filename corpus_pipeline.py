@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sourceloom.llm.byte_bpe import token_digests
 from sourceloom.llm.exact_dedup import exact_duplicates
 from sourceloom.llm.jaccard import jaccard_groups
 from sourceloom.llm.mixing import mixed
+from sourceloom.llm.queries import BYTE_RANKS
 from sourceloom.session import stored
 
 
@@ -36,7 +38,12 @@ def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return taken.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
 
 
-STAGES = [("exact dedup", exact_dedup), ("n-gram jaccard join", near_dedup), ("source mix", mix)]
+def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
+    return token_digests(docs, BYTE_RANKS)
+
+
+STAGES = [("exact dedup", exact_dedup), ("n-gram jaccard join", near_dedup), ("source mix", mix), ("byte-level BPE", tokens)]
 
 #: SQL can't express the classifier of the first stage or the encoding of the last.
 ORACLE_SQL = None

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sourceloom.llm.byte_bpe import token_digests
 from sourceloom.llm.exact_dedup import exact_duplicates
 from sourceloom.llm.jaccard import jaccard_groups
 from sourceloom.llm.mixing import SYMBOLS, mixed
 from sourceloom.llm.url_templates import APART, BRANCHES, ID_SEGMENT, LEVELS, PRIOR, REJECT, url_verdicts
 
+#: Ranks of the byte-level BPE queries.
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The rules of the URL query.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -32,13 +36,17 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_verdicts(_table(spark, folder, "pages"), URL_RULES)
 
 
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return token_digests(_table(spark, folder, "documents"), BYTE_RANKS)
+
+
 def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     out = mixed(_table(spark, folder, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op4_url_filter, op8_source_mix)}
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op4_url_filter, op6_byte_bpe, op8_source_mix)}
 
 _OP2_SQL = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain,
