@@ -12,10 +12,13 @@ from sourceloom.llm.byte_bpe import token_digests
 from sourceloom.llm.exact_dedup import exact_duplicates
 from sourceloom.llm.jaccard import jaccard_groups
 from sourceloom.llm.mixing import SYMBOLS, mixed
+from sourceloom.llm.token_files import token_directory, write_tokens
 from sourceloom.llm.url_templates import APART, BRANCHES, ID_SEGMENT, LEVELS, PRIOR, REJECT, url_verdicts
 
 #: Ranks of the byte-level BPE queries.
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: Tokenizer and end id of the token files.
+WORD_TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 2
 #: The rules of the URL query.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -45,8 +48,12 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_directory(*write_tokens(_table(spark, folder, "documents"), WORD_TOKENIZER, END_ID))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op4_url_filter, op6_byte_bpe, op8_source_mix)}
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op4_url_filter, op6_byte_bpe, op8_source_mix, op10_token_files)}
 
 _OP2_SQL = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain,
