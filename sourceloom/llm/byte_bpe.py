@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ from sourceloom.llm.textarrays import binary_buffers, sliced
 from sourceloom.session import prepare
 
 #: Distinct pre-tokens a worker keeps; beyond them its cache starts anew.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 250_000
 #: Columns of the blocked scan.
 SCAN = 128
 # The white space of the split pattern.
@@ -160,7 +161,7 @@ class Pieces(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
-        self.rank, self.ids, self.ends = ranks(path), [], [0]
+        self.rank, self.ids, self.ends = ranks(path), array("I"), array("q", [0])
 
     def __missing__(self, piece: bytes) -> int:
         self.ids.extend(merged(piece, self.rank))
@@ -216,9 +217,9 @@ def encoded(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarra
     raw, cache = data.tobytes(), pieces(path)
     bounds = [*at.tolist(), len(raw)]
     which = np.fromiter(map(cache.__getitem__, map(raw.__getitem__, map(slice, bounds, bounds[1:]))), np.int64, len(at))
-    ends = np.array(cache.ends, np.int64)
+    ends = np.array(cache.ends)
     counts = ends[which + 1] - ends[which]
-    ids = np.array(cache.ids, np.uint32)[spread(counts, ends[which])]
+    ids = np.array(cache.ids)[spread(counts, ends[which])]
     return ids, np.concatenate([[0], np.cumsum(counts)])[before]
 
 
