@@ -13,6 +13,7 @@ from sourceloom.llm.exact_dedup import exact_duplicates
 from sourceloom.llm.jaccard import jaccard_groups
 from sourceloom.llm.mixing import SYMBOLS, mixed
 from sourceloom.llm.token_files import token_directory, write_tokens
+from sourceloom.llm.topk import top_k
 from sourceloom.llm.url_templates import APART, BRANCHES, ID_SEGMENT, LEVELS, PRIOR, REJECT, url_verdicts
 
 #: Ranks of the byte-level BPE queries.
@@ -48,12 +49,16 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def op9_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(_table(spark, folder, "embeddings"), k=20, scale=64, query_step=20)
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_directory(*write_tokens(_table(spark, folder, "documents"), WORD_TOKENIZER, END_ID))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op4_url_filter, op6_byte_bpe, op8_source_mix, op10_token_files)}
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op4_url_filter, op6_byte_bpe, op8_source_mix, op9_exact_top_k, op10_token_files)}
 
 _OP2_SQL = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain,
@@ -108,4 +113,12 @@ FROM k JOIN c ON c.source IS NOT DISTINCT FROM k.source AND c.key = k.key AND c.
 JOIN e ON e.source IS NOT DISTINCT FROM k.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": _OP2_SQL, "op4_url_filter": _OP4_SQL, "op8_source_mix": _OP8_SQL}
+_OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": _OP2_SQL, "op4_url_filter": _OP4_SQL, "op8_source_mix": _OP8_SQL, "op9_exact_top_k": _OP9_SQL}
