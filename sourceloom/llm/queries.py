@@ -12,6 +12,7 @@ from sourceloom.llm.byte_bpe import token_digests
 from sourceloom.llm.exact_dedup import exact_duplicates
 from sourceloom.llm.jaccard import jaccard_groups
 from sourceloom.llm.mixing import SYMBOLS, mixed
+from sourceloom.llm.quality import quality_scores
 from sourceloom.llm.token_files import token_directory, write_tokens
 from sourceloom.llm.topk import top_k
 from sourceloom.llm.url_templates import APART, BRANCHES, ID_SEGMENT, LEVELS, PRIOR, REJECT, url_verdicts
@@ -40,6 +41,10 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_verdicts(_table(spark, folder, "pages"), URL_RULES)
 
 
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(_table(spark, folder, "documents"), BYTE_RANKS)
 
@@ -58,7 +63,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op4_url_filter, op6_byte_bpe, op8_source_mix, op9_exact_top_k, op10_token_files)}
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op4_url_filter, op5_quality_classifier, op6_byte_bpe, op8_source_mix, op9_exact_top_k, op10_token_files)}
 
 _OP2_SQL = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain,
