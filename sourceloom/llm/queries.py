@@ -15,6 +15,7 @@ from sourceloom.llm.mixing import SYMBOLS, mixed
 from sourceloom.llm.quality import quality_scores
 from sourceloom.llm.token_files import token_directory, write_tokens
 from sourceloom.llm.topk import top_k
+from sourceloom.llm.toxicity import toxicity
 from sourceloom.llm.url_templates import APART, BRANCHES, ID_SEGMENT, LEVELS, PRIOR, REJECT, url_verdicts
 
 #: Ranks of the byte-level BPE queries.
@@ -37,6 +38,10 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(_table(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_verdicts(_table(spark, folder, "pages"), URL_RULES)
 
@@ -63,7 +68,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op4_url_filter, op5_quality_classifier, op6_byte_bpe, op8_source_mix, op9_exact_top_k, op10_token_files)}
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_toxicity, op4_url_filter, op5_quality_classifier, op6_byte_bpe, op8_source_mix, op9_exact_top_k, op10_token_files)}
 
 _OP2_SQL = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain,

@@ -55,11 +55,14 @@ def binary_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and the words before each document (one more entry than documents)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and the words before each document (one more entry than documents).
+
+    Words are ``[^\\x20\\x09-\\x0D]+``, or runs of bytes other than those that the table ``between`` marks.
+    """
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_BLANK[data]
+    inside = ~between[data]
     starts, ends = inside.copy(), inside.copy()
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
