@@ -14,6 +14,7 @@ from sourceloom.llm.exact_dedup import exact_duplicates
 from sourceloom.llm.jaccard import jaccard_groups
 from sourceloom.llm.mixing import mixed
 from sourceloom.llm.queries import BYTE_RANKS
+from sourceloom.llm.toxicity import toxicity
 from sourceloom.session import stored
 
 
@@ -22,13 +23,24 @@ def _of(docs: DataFrame, decided: DataFrame) -> DataFrame:
     return docs.join(decided.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
+def clean(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The documents that the toxicity chain, learned from the folder's labels, does not reject."""
+    rejected = toxicity(docs, spark.read.parquet(f"{folder}/labels.parquet")).where("rejected").select(F.col("doc_id").alias("_out"))
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_out")), "left_anti")
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One row of each group of equal texts."""
-    return _of(docs, exact_duplicates(docs).where("kept"))
+    """One row of each group of equal texts; rows are numbered as they are stored, so that repeated ids are told apart."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    kept = exact_duplicates(numbered, also=("_row",)).where("kept").select("_row")
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8 or more: that with the smallest doc_id."""
+    """One document of each group linked by five-word shingles at a similarity of 0.8 or more: that with the smallest doc_id.
+
+    Documents with a null id stay if no document of their group has one.
+    """
     return _of(docs, jaccard_groups(docs).where("component_id <=> doc_id"))
 
 
@@ -43,7 +55,7 @@ def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return token_digests(docs, BYTE_RANKS)
 
 
-STAGES = [("exact dedup", exact_dedup), ("n-gram jaccard join", near_dedup), ("source mix", mix), ("byte-level BPE", tokens)]
+STAGES = [("toxicity", clean), ("exact dedup", exact_dedup), ("n-gram jaccard join", near_dedup), ("source mix", mix), ("byte-level BPE", tokens)]
 
 #: SQL can't express the classifier of the first stage or the encoding of the last.
 ORACLE_SQL = None

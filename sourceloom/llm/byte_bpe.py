@@ -12,6 +12,7 @@ import heapq
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from sourceloom.session import prepare
 
 #: Distinct pre-tokens a worker keeps; beyond them its cache starts anew.
 CACHE_PIECES = 250_000
-#: Columns of the blocked scan.
+#: Most columns of the blocked scan; short texts have about as many as rows.
 SCAN = 128
 # The white space of the split pattern.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -106,12 +107,13 @@ def token_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     for letter, second in ("re", "ve", "ll"):
         kind[(points == ord(letter)) & (following == ord(second)) & ~ends] = LONG
     symbol = kind + np.uint8(CLASSES) * begins[:n]
-    rows = -(-n // SCAN)
-    own = np.zeros(rows * SCAN, np.uint16)
+    width = min(SCAN, isqrt(n) + 1)
+    rows = -(-n // width)
+    own = np.zeros(rows * width, np.uint16)
     own[:n] = t["function"][symbol]
-    own = np.ascontiguousarray(own.reshape(rows, SCAN).T)
+    own = np.ascontiguousarray(own.reshape(rows, width).T)
     count, compose = np.uint32(t["count"]), t["compose"]
-    for k in range(1, SCAN):
+    for k in range(1, width):
         own[k] = compose[own[k - 1] * count + own[k]]
     before, step = np.concatenate([[0], own[-1, :-1]]).astype(np.uint16), 1
     while step < rows:

@@ -52,8 +52,8 @@ def _identities(texts: DataFrame) -> DataFrame:
         level = stored(_named(pairs, "one", "two"), "level")
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) with keep_id, group_size, kept and text_sha256.
+def exact_duplicates(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) with keep_id, group_size, kept and text_sha256, and the columns ``also`` of docs.
 
     Rows are equal when their texts are, white space left out; null counts as empty. Of equal rows that with the most code points
     in the original text stays, then the one with the smallest doc_id, null last; of wholly equal rows one. text_sha256 is a
@@ -61,11 +61,11 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     plain = normalised()
-    rows = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("size"), F.length(plain).alias("n"),
+    rows = docs.select("doc_id", *also, F.length(F.coalesce("text", F.lit(""))).alias("size"), F.length(plain).alias("n"),
                        F.substring(plain, 1, LEAD).alias("lead"), F.sha2(plain.cast("binary"), 256).alias("text_sha256"), plain.alias("plain"))
     crowded = rows.groupBy("n", "lead").count().where("count > 1").select("n", "lead", F.lit(True).alias("crowded"))
     rows = rows.join(crowded, ["n", "lead"], "left").select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "size", "n", "text_sha256", F.expr("if(crowded, plain, null)").alias("plain"))
+        F.monotonically_increasing_id().alias("row"), "doc_id", *also, "size", "n", "text_sha256", F.expr("if(crowded, plain, null)").alias("plain"))
     rows = stored(rows, "rows")
     open_ = rows.where("plain is not null")
     named = open_.select("row", "doc_id", "size", "n").join(_identities(open_.select("row", "plain")), "row")
@@ -73,7 +73,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     groups = named.groupBy("n", "name").agg(F.count("*").alias("group_size"), F.min(order).alias("best"))
     placed = named.select("row", "n", "name").join(groups, ["n", "name"])
     placed = placed.select("row", "group_size", F.col("best.d").alias("keep_id"), (F.col("best.r") == F.col("row")).alias("kept"))
-    light = rows.select("row", "doc_id", "text_sha256", F.col("plain").isNull().alias("single"))
+    light = rows.select("row", "doc_id", *also, "text_sha256", F.col("plain").isNull().alias("single"))
     alone = light.where("single").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-                                         F.lit(True).alias("kept"), "text_sha256")
-    return alone.union(light.where("not single").join(placed, "row").select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
+                                         F.lit(True).alias("kept"), "text_sha256", *also)
+    return alone.union(light.where("not single").join(placed, "row").select("doc_id", "keep_id", "group_size", "kept", "text_sha256", *also))
