@@ -20,7 +20,7 @@ _RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Archives and files reach Python in batches bounded by bytes, whatever their number.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 * 1024 * 1024),
 }
 
 
