@@ -20,11 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.textarrays import binary_buffers, sliced
+from sourceloom.llm.textarrays import SpanNumbers, binary_buffers, sliced
 from sourceloom.session import prepare
 
 #: Distinct pre-tokens a worker keeps; beyond them its cache starts anew.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 100_000
 #: Most columns of the blocked scan; short texts have about as many as rows.
 SCAN = 128
 # The white space of the split pattern.
@@ -164,6 +164,7 @@ class Pieces(dict):
     def __init__(self, path: str) -> None:
         super().__init__()
         self.rank, self.ids, self.ends = ranks(path), array("I"), array("q", [0])
+        self.numbers = SpanNumbers(lambda found: list(map(self.__getitem__, found)), 19)
 
     def __missing__(self, piece: bytes) -> int:
         self.ids.extend(merged(piece, self.rank))
@@ -216,9 +217,8 @@ def spread(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
 def encoded(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all documents in a row, and the number of ids before each document."""
     data, at, before = pretokens(data, offsets)
-    raw, cache = data.tobytes(), pieces(path)
-    bounds = [*at.tolist(), len(raw)]
-    which = np.fromiter(map(cache.__getitem__, map(raw.__getitem__, map(slice, bounds, bounds[1:]))), np.int64, len(at))
+    cache = pieces(path)
+    which = cache.numbers.of(data, at, np.append(at[1:], len(data)))
     ends = np.array(cache.ends)
     counts = ends[which + 1] - ends[which]
     ids = np.array(cache.ids)[spread(counts, ends[which])]
@@ -238,7 +238,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     each token. Null and empty texts have none; bytes that are not UTF-8 count as U+FFFD. Rows keep their number whatever ids
     repeat or are null. ``path`` is a file of ranks that every machine holds. Other columns are not read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text", 1 << 20):
             ids, before = encoded(*binary_buffers(batch.column("text")), path)
             _, first = token_table(path)
             lengths = np.cumsum(first[ids + 1] - first[ids]) if len(ids) else np.zeros(0, np.int64)
@@ -255,7 +255,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded) of rows that ``encode`` gave: the bytes of the tokens laid at their offsets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blob, first = token_table(path)
-        for batch in sliced(batches, "ids", 2 << 20):
+        for batch in sliced(batches, "ids", 1 << 20):
             out = []
             for packed, packed_ends in zip(batch.column("ids"), batch.column("ends")):
                 ids, ends = np.frombuffer(packed.as_py() or b"", np.uint32), np.frombuffer(packed_ends.as_py() or b"", np.uint32).astype(np.int64)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +88,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix(out)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds at most ``most`` bytes of ``column``, or one row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -99,3 +99,35 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             to = max(at + 1, int(np.searchsorted(total, base + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+class SpanNumbers:
+    """Numbers of spans of bytes: short ones from arrays that hold their bytes, the others from a mapping.
+
+    A slot of the arrays holds the bytes and length of one span of at most 15 bytes, so a match is exact; a later span takes a
+    slot over. ``resolve`` gives the numbers of a list of spans.
+    """
+
+    _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+    def __init__(self, resolve: Callable[[list[bytes]], list[int]], slot_bits: int) -> None:
+        self.resolve, self.shift = resolve, np.uint64(64 - slot_bits)
+        self.head, self.tail, self.number = (np.zeros(1 << slot_bits, kind) for kind in (np.uint64, np.uint64, np.int32))
+
+    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each span of ``data``."""
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        raw = data.tobytes() + bytes(24)
+        words = np.ndarray(len(raw) - 16, np.dtype("<u8"), raw, 0, (1,))
+        lengths = ends - starts
+        head = words[starts] & self._KEEP[np.minimum(lengths, 8)]
+        tail = words[np.minimum(starts + 8, len(data))] & self._KEEP[np.clip(lengths - 8, 0, 7)] | np.minimum(lengths, 255).astype(np.uint64) << np.uint64(56)
+        slot = (mix(head ^ tail * np.uint64(_BASE)) >> self.shift).astype(np.int64)
+        out = self.number[slot].astype(np.int64)
+        missed = np.flatnonzero((self.head[slot] != head) | (self.tail[slot] != tail) | (lengths > 15))
+        out[missed] = self.resolve(list(map(raw.__getitem__, map(slice, starts[missed].tolist(), ends[missed].tolist()))))
+        short = missed[lengths[missed] <= 15]
+        at = slot[short]
+        self.head[at], self.tail[at], self.number[at] = head[short], tail[short], out[short]
+        return out

@@ -145,7 +145,7 @@ def edited_counts(docs: DataFrame, path: str, edits_of: Callable[[str], list[Edi
             data, at, before = pretokens(*binary_buffers(batch.column("text")))
             raw, cache = data.tobytes(), pieces(path)
             bounds = [*at.tolist(), len(raw)]
-            which = np.fromiter(map(cache.__getitem__, map(raw.__getitem__, map(slice, bounds, bounds[1:]))), np.int64, len(at))
+            which = cache.numbers.of(data, at, np.append(at[1:], len(data)))
             ends = np.array(cache.ends)
             tokens = ends[which + 1] - ends[which]
             place = np.cumsum((data & 0xC0) != 0x80)[at] - 1 if len(at) else at

@@ -8,9 +8,10 @@ each holds the ids of its documents, their lengths, and both streams.
 
 from __future__ import annotations
 
+import os
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sourceloom.llm.byte_bpe import spread
-from sourceloom.llm.textarrays import binary_buffers, sliced, word_spans
-from sourceloom.session import prepare, stored
+from sourceloom.llm.textarrays import SpanNumbers, binary_buffers, sliced, word_spans
+from sourceloom.session import prepare, scratch_path, stored
 
 #: Ids of a block, beyond which its last document isn't continued by another one.
 BLOCK_IDS = 1 << 18
 #: Distinct words a worker keeps; beyond them its cache starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 1_000_000
+#: Words the tokenizer gets at a time.
+BATCH_WORDS = 4000
 #: The lengths that a control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _BLOCK = "part int, block int, doc_ids array<long>, counts array<long>, control binary, data binary"
@@ -56,6 +59,7 @@ class _Words(dict):
     """Numbers of words; new ones are encoded by the tokenizer, many at a time."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -63,35 +67,65 @@ class _Words(dict):
         self.tokenizer.encode_special_tokens = True
         self.ids, self.ends = array("I"), array("q", [0])
 
+        self.numbers = SpanNumbers(self.numbers_of, 21)
+
+    def numbers_of(self, words: list[bytes]) -> list[int]:
+        self.learn(words)
+        return list(map(self.__getitem__, words))
+
     def learn(self, words: list[bytes]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in new], add_special_tokens=False)):
-            self.ids.extend(found.ids)
-            self[word] = len(self.ends) - 1
-            self.ends.append(len(self.ids))
+        new = list(set(words).difference(self))
+        for at in range(0, len(new), BATCH_WORDS):
+            batch = new[at:at + BATCH_WORDS]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in batch], add_special_tokens=False)]
+            self.update(zip(batch, range(len(self.ends) - 1, len(self.ends) - 1 + len(batch))))
+            self.ends.extend((np.cumsum(list(map(len, found))) + len(self.ids)).tolist())
+            self.ids.extend(chain.from_iterable(found))
 
 
 _CACHES: dict[str, _Words] = {}
 
 
+#: ASCII letters, digits and other signs but the quote: where two of these kinds meet, the tokenizer always parts a word.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127], _KIND[39] = 3, 0
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 1
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with A-Z lower-cased where no combining sign can follow, starts and ends of the parts of words, parts before each document."""
+    starts, ends, _ = word_spans(data, offsets)
+    upper = (data >= 65) & (data < 91)
+    upper[:-1] &= data[1:] < 128
+    kind = _KIND[data]
+    cuts = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+    cuts = cuts[~np.isin(cuts, offsets)]
+    starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    return data + np.uint8(32) * upper, starts, ends, np.searchsorted(starts, offsets)
+
+
 def word_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all documents in a row and the number of ids before each: a tokenizer that splits at white space, word by word."""
+    """The ids of all documents in a row and the number of ids before each, part of word by part of word.
+
+    The tokenizer must lower-case, and split at white space and between letters, digits and other signs.
+    """
     if path not in _CACHES or len(_CACHES[path]) > CACHE_WORDS:
         _CACHES[path] = _Words(path)
-    cache, raw = _CACHES[path], data.tobytes()
-    starts, ends, before = word_spans(data, offsets)
-    words = list(map(raw.__getitem__, map(slice, starts.tolist(), ends.tolist())))
-    cache.learn(words)
-    which = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-    bounds = np.array(cache.ends)
-    counts = bounds[which + 1] - bounds[which]
-    ids = np.array(cache.ids)[spread(counts, bounds[which])]
+    cache = _CACHES[path]
+    data, starts, ends, before = _pieces(data, offsets)
+    which = cache.numbers.of(data, starts, ends)
+    bounds = np.frombuffer(cache.ends, np.int64)
+    first = bounds[which]
+    counts = bounds[which + 1] - first
+    del bounds
+    ids = np.frombuffer(cache.ids, np.uint32)[spread(counts, first)] if len(which) else np.zeros(0, np.uint32)
     return ids, np.concatenate([[0], np.cumsum(counts)])[before]
 
 
 def _tokens(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text", 4 << 20):
             ids, before = word_ids(*binary_buffers(batch.column("text")), path)
             ids = np.insert(ids, before[1:], end_id)
             before = before + np.arange(len(before))
@@ -138,6 +172,13 @@ def _blocks(rank: np.ndarray):
     return run
 
 
+def _compact(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written with the denser codec and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder_name: str = "tokens") -> tuple[DataFrame, DataFrame]:
     """Encode ``docs`` (doc_id, text) and write their ids in ascending doc_id order; returns the blocks read back and the id of each rank.
 
@@ -147,7 +188,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder_name: str
     """
     spark = prepare(docs.sparkSession)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    staged = stored(texts.mapInArrow(_tokens(tokenizer, end_id), "doc_id long, ids binary, width int"), "ids")
+    staged = _compact(texts.mapInArrow(_tokens(tokenizer, end_id), "doc_id long, ids binary, width int"), "ids")
     seen = staged.select("ids", "width").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     seen = seen.sort_values(["n", "id"], ascending=[False, True], ignore_index=True)
     rank = np.zeros(int(seen["id"].max()) + 1 if len(seen) else 1, np.uint32)
@@ -155,7 +196,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder_name: str
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = staged.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     ranks = spark.createDataFrame(pd.DataFrame({"rank": seen.index.astype("int64"), "id": seen["id"].astype("int64")}), "rank long, id long")
-    return stored(ordered.mapInArrow(_blocks(rank), _BLOCK), folder_name), stored(ranks.coalesce(1), f"{folder_name}-ranks")
+    return _compact(ordered.mapInArrow(_blocks(rank), _BLOCK), folder_name), stored(ranks.coalesce(1), f"{folder_name}-ranks")
 
 
 def read_tokens(blocks: DataFrame, ranks: DataFrame) -> DataFrame:
