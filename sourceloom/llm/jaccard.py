@@ -5,14 +5,16 @@ The space is therefore cut in two steps that lose no pair:
 
 * *Far apart.* The distance to the empty set, taken as the number of differing shingles, is a document's size. It gives rings;
   a document in the window at a ring's inner edge is replicated into the ring below, so every link meets in the ring of its
-  smaller end. In a ring two linked sets differ in at most k shingles. The shingle space is cut into k + 1 + SPARE ranges; a pair
-  of linked sets agrees wholly on some range that is not among the SPARE smallest of either. Equal (ring, range, content) is a
+  smaller end. In a ring two linked sets differ in at most k shingles. The shingle space is cut into k + 1 + k / SPARE ranges; a
+  pair of linked sets agrees wholly on some range that is not among the k / SPARE smallest of either. Equal (ring, range, content) is a
   region.
-* *Close together.* Regions that touch are one region while they fit a task. Larger ones choose pivots, every set goes to its
-  nearest pivot's Voronoi region and, by the triangle inequality, to each pivot at most 2 * radius farther than that one. This
-  is repeated until regions fit a task; a region that pivots do not part is joined in pairs of blocks. In a task all sets are
-  compared exactly.
+* *Close together.* Two sets of a ring differ in at least as many shingles as ranges, so one byte a range tells most members of
+  a region apart. The regions' remaining neighbours form families, which are joined whole while they fit a task. A larger family
+  chooses pivots, every set goes to its nearest pivot's Voronoi region and, by the triangle inequality, to each pivot at most
+  2 * radius farther than that one. This is repeated until regions fit a task; a region that pivots do not part is joined in
+  pairs of blocks. In a task all sets are compared exactly.
 
+Ranges that only one set has are passed over with the help of a filter of fixed size, so that few of them are shuffled twice.
 Shingles are 64-bit hashes of lower-cased words, and a distinct set is named by a 64-bit hash of its shingles.
 """
 
@@ -33,15 +35,17 @@ from sourceloom.llm.components import components
 from sourceloom.llm.textarrays import binary_buffers, mix, sliced, span_hashes, word_spans
 from sourceloom.session import prepare, stored
 
-#: Ranges of a ring beyond those that a pair needs; a set's smallest ones are left out.
-SPARE = 2
+#: One range in so many is spare: as many of a set's smallest ones are left out.
+SPARE = 3
 #: Outer edge of a ring over its inner edge.
-RING_RATIO = 1.3
+RING_RATIO = 1.6
 #: A task compares at most so many sets with so many shingles in all; larger regions are parted.
-LEAF_SETS, LEAF_SHINGLES = 1024, 2_000_000
+LEAF_SETS, LEAF_SHINGLES = 1024, 500_000
+#: Regions with more members or bytes of them are families as they are.
+SKETCHED, SKETCH_BYTES = 2048, 8 << 20
 #: Pivots of a region that is parted, and members whose distances to them one task measures.
 PIVOTS, CHUNK = 16, 512
-#: Bits of the filter that finds the documents to read again: fixed, so it never grows with the corpus beyond this.
+#: Most bits of the filters for values to find again; they never grow with the corpus beyond this.
 FILTER_BITS = 1 << 25
 
 
@@ -92,60 +96,90 @@ class Rings:
             rings.append(ring)
         return rings
 
-    def regions(self, shingles: np.ndarray) -> np.ndarray:
-        """Hashes of (ring, range, content) of the ranges a set is compared by."""
+    def regions(self, shingles: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """By ring: its number, hashes of (ring, range, content) of the ranges a set is compared by, and a byte of each range's."""
         sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(mix(shingles + np.uint64(7)))])
         out = []
         for ring in self.of(len(shingles)):
             apart = self.outer[ring] * (100 - self.percent) // self.percent
-            spare = SPARE if apart else 0
-            ranges = apart + 1 + spare
+            ranges = apart + 1 + apart // SPARE
             cuts = np.arange(1, ranges, dtype=np.uint64) * np.uint64((2**64 - 1) // ranges)
             edges = np.concatenate([[0], np.searchsorted(shingles, cuts), [len(shingles)]])
-            kept = np.argsort(np.diff(edges), kind="stable")[spare:]
-            content = sums[edges[kept + 1]] - sums[edges[kept]]
-            out.append(mix(mix(kept.astype(np.uint64) + np.uint64(ring << 32)) ^ content))
-        return np.concatenate(out)
+            content = mix(mix(np.arange(ranges, dtype=np.uint64) + np.uint64(ring << 32)) ^ (sums[edges[1:]] - sums[edges[:-1]]))
+            kept = np.argsort(np.diff(edges), kind="stable")[apart // SPARE:]
+            out.append((ring, content[kept], content.astype(np.uint8)))
+        return out
 
 
-def _described(words: int, percent: int):
+def _named(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", 1 << 20):
+            sets = shingle_sets(*binary_buffers(batch.column("text")), words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array([set_name(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
+    return run
+
+
+def _regions(words: int, percent: int):
     rings = Rings(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 1 << 20):
             sets = shingle_sets(*binary_buffers(batch.column("text")), words)
-            found = [rings.regions(s) if len(s) else np.empty(0, np.uint64) for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            flat = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([set_name(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n_shingles", "node", "regions"])
+            found = [r for s in sets if len(s) for _, r, _ in rings.regions(s)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64))], ["region"])
+    return run
+
+
+class Marks:
+    """A filter of fixed size: values that were put in are always found again, few others are."""
+
+    def __init__(self, values: DataFrame, count: int) -> None:
+        self.bits = min(FILTER_BITS, 1 << max(10, ceil(log2(16 * count + 1))))
+        name = F.col(values.columns[0])
+        spread = [F.pmod(F.shiftrightunsigned(name, 17 * k), F.lit(self.bits)) for k in range(3)]
+        cells = (values.select(F.explode(F.array(*spread)).alias("at")).groupBy(F.expr("at div 32").alias("cell"))
+                 .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits")).toPandas())
+        table = np.zeros(self.bits // 32, np.int64)
+        table[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
+        self.shared = values.sparkSession.sparkContext.broadcast(table)
+
+    def hit(self, values: np.ndarray) -> np.ndarray:
+        """Which of 64-bit values may have been put in."""
+        found = np.ones(len(values), bool)
+        for k in range(3):
+            at = (values.view(np.uint64) >> np.uint64(17 * k)).view(np.int64) % self.bits
+            found &= (self.shared.value[at // 32] >> (at % 32)) & 1 == 1
+        return found
+
+
+def _members(words: int, percent: int, marks: Marks):
+    rings = Rings(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", 1 << 20):
+            out = []
+            for s in shingle_sets(*binary_buffers(batch.column("text")), words):
+                for ring, regions, sketch in rings.regions(s) if len(s) else []:
+                    kept = regions[marks.hit(regions)]
+                    if len(kept):
+                        out.append((set_name(s), ring, len(s), sketch.tobytes(), kept.view(np.int64)))
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()),
+                                              pa.array(columns[3], pa.binary()), pa.array(list(columns[4]), pa.list_(pa.int64()))],
+                                             ["node", "ring", "size", "sketch", "regions"])
     return run
 
 
 def _sets_of(texts: DataFrame, nodes: DataFrame, count: int, words: int) -> DataFrame:
-    """(node, size, shingles) of the named sets, read again from the texts; other texts are passed over by a fixed-size filter."""
-    bits = min(FILTER_BITS, 1 << max(10, ceil(log2(16 * count + 1))))
-    marked = mix(np.arange(3, dtype=np.uint64) + np.uint64(1))
-    spread = [F.pmod(F.shiftrightunsigned(F.col("node").bitwiseXOR(F.lit(int(m.view(np.int64)))), 7 * k), F.lit(bits))
-              for k, m in enumerate(marked)]
-    cells = (nodes.select(F.explode(F.array(*spread)).alias("at")).groupBy(F.expr("at div 32").alias("cell"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits")).toPandas())
-    table = np.zeros(bits // 32, np.int64)
-    table[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
-    shared = texts.sparkSession.sparkContext.broadcast(table)
+    """(node, size, shingles) of the named sets, read again from the texts."""
+    marks = Marks(nodes, count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = shared.value
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 1 << 20):
             sets = [s for s in shingle_sets(*binary_buffers(batch.column("text")), words) if len(s)]
             names = np.array([set_name(s) for s in sets], np.int64)
-            hit = np.ones(len(sets), bool)
-            for k, m in enumerate(marked):
-                at = ((names.view(np.uint64) ^ m) >> np.uint64(7 * k)).view(np.int64) % bits
-                hit &= (cells[at // 32] >> (at % 32)) & 1 == 1
-            kept = [(int(names[i]), sets[i]) for i in np.flatnonzero(hit)]
+            kept = [(int(names[i]), sets[i]) for i in np.flatnonzero(marks.hit(names))]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int64()),
                                               pa.array([s.tobytes() for _, s in kept], pa.binary())], ["node", "size", "shingles"])
 
@@ -153,6 +187,22 @@ def _sets_of(texts: DataFrame, nodes: DataFrame, count: int, words: int) -> Data
     return read.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"))
 
 
+def _neighbours(percent: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """The members of a region that their sketches leave as possible links, as a forest."""
+        nodes, sizes = group["node"].to_numpy(np.int64), group["size"].to_numpy(np.int64)
+        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(nodes), -1)
+        label = np.arange(len(nodes))
+        for i in range(1, len(nodes)):
+            apart = (sketch[:i] != sketch[i]).sum(axis=1)
+            met = np.unique(label[:i][apart * (100 + percent) <= (100 - percent) * (sizes[:i] + sizes[i])])
+            if len(met):
+                label[np.isin(label, met)] = met[0]
+                label[i] = met[0]
+        return pd.DataFrame({"a": nodes, "b": nodes[label]})[label != np.arange(len(nodes))]
+    return run
+
+
 def overlaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Intersection sizes of all pairs of sets, and the set sizes, exactly."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -161,7 +211,7 @@ def overlaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     common = np.bincount(column, minlength=len(values)) > 1
     keep = common[column]
     row, column = row[keep], (np.cumsum(common) - 1)[column[keep]]
-    shared, width = np.zeros((len(sets), len(sets)), np.float64), max(64, (8 << 20) // max(1, len(sets)))
+    shared, width = np.zeros((len(sets), len(sets)), np.float32), max(64, (4 << 20) // max(1, len(sets)))
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     for at in range(0, int(common.sum()), width):
@@ -170,7 +220,7 @@ def overlaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         present[row[lo:hi], column[lo:hi] - at] = 1
         shared += present @ present.T
     np.fill_diagonal(shared, sizes)
-    return np.rint(shared).astype(np.int64), sizes
+    return shared.astype(np.int32), sizes.astype(np.int32)
 
 
 def _joined(percent: int):
@@ -178,7 +228,7 @@ def _joined(percent: int):
         """The linked sets of a task as a forest: each set with the smallest set it reaches here."""
         nodes = group["node"].to_numpy(np.int64)
         both, sizes = overlaps([np.frombuffer(x, np.uint64) for x in group["shingles"]])
-        linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        linked = (100 + percent) * both.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :])
         label = nodes.copy()
         while True:
             now = np.array([label[linked[i]].min() for i in range(len(nodes))])
@@ -266,23 +316,27 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     """
     spark = prepare(docs.sparkSession)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = stored(texts.mapInArrow(_described(words, percent), "doc_id long, n_shingles long, node long, regions array<long>"), "sets")
-    spread = rows.select("node", F.explode("regions").alias("region"))
-    shared = spread.groupBy("region").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-    members = stored(spread.join(shared.select("region"), "region").select("region", "node").distinct(), "members")
-    members = stored(_unique(members), "regions")
-    nodes = stored(members.select("node").distinct(), "nodes")
+    rows = stored(texts.mapInArrow(_named(words), "doc_id long, n_shingles long, node long"), "rows")
+    shared = texts.select("text").mapInArrow(_regions(words, percent), "region long").groupBy("region").count().where("count > 1").select("region")
+    shared = stored(shared, "shared")
+    marks = Marks(shared, shared.count())
+    near = stored(texts.select("text").mapInArrow(_members(words, percent, marks), "node long, ring int, size long, sketch binary, regions array<long>"), "near")
+    members = near.select("node", "ring", F.explode("regions").alias("region")).join(shared, "region", "left_semi").distinct()
+    members = stored(_unique(members), "members")
+    counts = members.groupBy("region").agg(F.count("*").alias("n"), F.min("node").alias("head"))
+    counted = members.join(counts, "region")
+    sketches = near.groupBy("node", "ring").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    small = counted.where(F.col("n") <= SKETCHED).join(sketches, ["node", "ring"])
+    tight = small.where(F.length("sketch") * F.col("n") <= SKETCH_BYTES).select("region", "node", "size", "sketch")
+    tight = tight.groupBy("region").applyInPandas(_neighbours(percent), "a long, b long")
+    wide = small.where(F.length("sketch") * F.col("n") > SKETCH_BYTES).select("node", "head").union(counted.where(F.col("n") > SKETCHED).select("node", "head"))
+    touching = stored(components(tight.union(wide).where("a <> b").distinct()), "touching")
+
+    families = touching.select("node", F.col("component").alias("region"))
+    families = stored(families.union(families.select(F.col("region").alias("node"), "region").distinct()), "families")
+    nodes = families.select("node")
     sets = stored(_sets_of(texts, nodes, nodes.count(), words), "shingles")
-    sizes = sets.select("node", "size")
-
-    heads = members.groupBy("region").agg(F.min("node").alias("head"))
-    touching = stored(components(members.join(heads, "region").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()), "touching")
-    whole = touching.select("node", F.col("component").alias("region"))
-    whole = stored(_measured(whole.union(whole.select(F.col("region").alias("node"), "region").distinct()), sizes), "families")
-    close = whole.where("fits").select("region", "node")
-    large = members.join(whole.where("not fits").select("node"), "node", "left_semi").select("region", "node")
-    if not large.isEmpty():
-        close = close.union(_leaves(large, sets, sizes, 1 - percent / 100))
+    close = _leaves(families.select("region", "node"), sets, sets.select("node", "size"), 1 - percent / 100)
     links = stored(close.join(sets, "node").groupBy("region").applyInPandas(_joined(percent), "a long, b long").distinct(), "links")
     groups = components(links)
 
