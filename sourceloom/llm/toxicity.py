@@ -20,7 +20,7 @@ from sourceloom.llm.textarrays import binary_buffers, mix, sliced, span_hashes,
 from sourceloom.session import prepare, stored
 
 #: Labelled rows the chain learns from, those with the least hashes of their ids; terms it uses.
-SAMPLE, TERMS = 20_000, 512
+SAMPLE, TERMS = 20_000, 256
 #: Least documents of a term; share of toxic documents from which a term counts as typical.
 LEAST, TYPICAL = 3, 0.8
 FOLDS, RIDGE, STEPS = 5, 0.3, 12
@@ -58,22 +58,26 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n), pa.array(t)], ["term", "n", "t"])
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton's method; the last column of ``x`` is 1 and bears no penalty."""
+def _fit(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton's method, from near-by weights if there are any; the last column of ``x``
+    is 1 and bears no penalty."""
     w = np.zeros(x.shape[1])
     share = (y.sum() + 0.5) / (len(y) + 1)
     w[-1] = np.log(share / (1 - share))
     if not len(y) or y.min() == y.max():
         return w
+    if start is not None:
+        w = start.copy()
+    x = x.astype(np.float32)
     penalty = np.full(x.shape[1], RIDGE)
     penalty[-1] = 1e-6
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (y - p) - penalty * w
-        curve = x.T @ (x * np.maximum(p * (1 - p), 1e-4)[:, None]) + np.diag(penalty)
+        curve = x.T @ (x * np.maximum(p * (1 - p), 1e-4).astype(np.float32)[:, None]) + np.diag(penalty)
         step = np.linalg.solve(curve, gradient)
         w += step
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 1e-3:
             break
     return w
 
@@ -102,11 +106,12 @@ def learn(present: np.ndarray, targets: list[np.ndarray], folds: np.ndarray) ->
     for y in targets:
         x = np.column_stack([present, *earlier, np.ones(len(present))])
         weights.append(_fit(x, y))
+        whole = weights[-1]
         out = np.zeros(len(y))
         for k in range(FOLDS):
             mine = folds == k
             if mine.any():
-                out[mine] = _probability(x[mine], _fit(x[~mine], y[~mine]))
+                out[mine] = _probability(x[mine], _fit(x[~mine], y[~mine], whole))
         earlier.append(out)
     return Chain(weights)
 
@@ -163,7 +168,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
     names = [f"p_{name}" for name, _ in CATEGORIES]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "found", 64 << 10):
             found = chain.score(_present(batch.column("found").to_pylist(), width))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c) for c in found.T]], ["doc_id", *names])
 
