@@ -126,7 +126,7 @@ def top_k(vectors: DataFrame, k: int = 20, scale: float = 64, query_step: int =
     pivots = choose_pivots(_matrix(sample["vector"], dims), PIVOTS)
     placed = plain.mapInArrow(_placed(pivots), "vec_id long, vector binary, pivot int, distance double, norm double")
     reach = F.broadcast(placed.groupBy("pivot").agg(F.max("distance").alias("reach")))
-    annulus = F.least(F.floor(F.col("distance") * ANNULI / F.col("reach")), F.lit(ANNULI - 1))
+    annulus = F.least(F.floor(F.try_divide(F.col("distance") * ANNULI, F.col("reach"))), F.lit(ANNULI - 1))
     placed = stored(placed.join(reach, "pivot").withColumn("cell", F.col("pivot") * ANNULI + F.coalesce(annulus, F.lit(0)).cast("int")), "placed")
     cells = placed.groupBy("cell", "pivot").agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high"), F.max("norm").alias("longest"))
     cells = cells.toPandas().sort_values("cell", ignore_index=True)

@@ -63,7 +63,7 @@ def _fit(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None) -> np.nd
     is 1 and bears no penalty."""
     w = np.zeros(x.shape[1])
     share = (y.sum() + 0.5) / (len(y) + 1)
-    w[-1] = np.log(share / (1 - share))
+    w[-1] = np.log(share / (1 - share)) if len(y) else -30
     if not len(y) or y.min() == y.max():
         return w
     if start is not None:
@@ -128,8 +128,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
     ``label`` 0 or 1.
 
     Whole texts are read; null and empty ones have no terms and the probability of such texts. Null labels and ids are not
-    learned from, at most SAMPLE other rows are. Without labels of both kinds all probabilities are the label's share, or 0.5
-    without any, and nothing is rejected unless all labels are 1. Rows keep their number whatever ids repeat or are null. An
+    learned from, at most SAMPLE other rows are. Without labels of both kinds all probabilities are the label's smoothed share, or
+    0 without any, in which case nothing is rejected. Rows keep their number whatever ids repeat or are null. An
     empty table gives no rows.
     """
     prepare(docs.sparkSession)
