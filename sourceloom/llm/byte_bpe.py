@@ -233,10 +233,7 @@ def token_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(row), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in row])])
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, ends) of every row of ``docs`` (doc_id, text): packed unsigned 32-bit token ids, and the byte position after
-    each token. Null and empty texts have none; bytes that are not UTF-8 count as U+FFFD. Rows keep their number whatever ids
-    repeat or are null. ``path`` is a file of ranks that every machine holds. Other columns are not read."""
+def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 1 << 20):
             ids, before = encoded(*binary_buffers(batch.column("text")), path)
@@ -246,13 +243,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([ids[a:b].tobytes() for a, b, _ in cut], pa.binary()),
                                               pa.array([(lengths[a:b] - base).astype(np.uint32).tobytes() for a, b, base in cut], pa.binary())],
                                              ["doc_id", "ids", "ends"])
-
-    prepare(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, ids binary, ends binary")
+    return run
 
 
-def decode(tokens: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, decoded) of rows that ``encode`` gave: the bytes of the tokens laid at their offsets."""
+def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blob, first = token_table(path)
         for batch in sliced(batches, "ids", 1 << 20):
@@ -262,13 +256,31 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
                 starts = np.concatenate([[0], ends[:-1]])[:len(ends)]
                 out.append(blob[spread(ends - starts, first[ids])].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+    return run
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    prepare(docs.sparkSession)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, ends) of every row of ``docs`` (doc_id, text): packed unsigned 32-bit token ids, and the byte position after
+    each token. Null and empty texts have none; bytes that are not UTF-8 count as U+FFFD. Rows keep their number whatever ids
+    repeat or are null. ``path`` is a file of ranks that every machine holds. Other columns are not read."""
+    return _texts(docs).mapInArrow(_encoder(path), "doc_id long, ids binary, ends binary")
+
 
+def decode(tokens: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, decoded) of rows that ``encode`` gave: the bytes of the tokens laid at their offsets."""
     prepare(tokens.sparkSession)
-    return tokens.mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return tokens.mapInArrow(_decoder(path), "doc_id long, ids binary, decoded binary")
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: texts encoded and decoded again."""
-    return decode(encode(docs, path), path).select(
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: texts encoded and decoded again, in one worker a task."""
+    encoder, decoder = _encoder(path), _decoder(path)
+    both = _texts(docs).mapInArrow(lambda batches: decoder(encoder(batches)), "doc_id long, ids binary, decoded binary")
+    return both.select(
         "doc_id", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
