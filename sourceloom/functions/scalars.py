@@ -145,8 +145,9 @@ def is_known_edge_type(name: Column) -> Column:
     return F.upper(name).isin(*sorted(set(V.EDGE_TYPES.values())))
 
 
-def clamp_depth(depth: int, most: int = V.MAX_DEPTH) -> int:
-    return max(1, min(int(depth), most))
+def clamp_depth(depth: int) -> int:
+    """The depth asked for, at least 1."""
+    return max(1, int(depth))
 
 
 def clean_direction(direction: str) -> str:
@@ -154,37 +155,42 @@ def clean_direction(direction: str) -> str:
 
 
 # ---- catalog -------------------------------------------------------------------------------
+def stripped(text: Column) -> Column:
+    """The text without white space of any script at its ends."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
 def normalized_name(name: Column) -> Column:
-    return F.trim(F.regexp_replace(name, r"\s+", " "))
+    return stripped(F.regexp_replace(name, r"(?U)\s+", " "))
 
 
 def name_error(name: Column) -> Column:
-    ok = normalized_name(name).rlike(f"^{V.NAME_PATTERN}$")
+    ok = normalized_name(name).rlike(rf"\A(?:{V.NAME_PATTERN})\z")
     return F.when(~F.coalesce(ok, F.lit(False)),
                   "name must be 3-120 characters and use letters, numbers, spaces, '.', '_' or '-'")
 
 
 def normalized_tags(tags: Column) -> Column:
-    return F.array_distinct(F.transform(tags, lambda t: F.lower(F.trim(t))))
+    return F.array_distinct(F.transform(tags, lambda t: F.lower(stripped(t))))
 
 
 def tags_error(tags: Column) -> Column:
     clean = normalized_tags(tags)
-    bad = F.exists(clean, lambda t: ~t.rlike(f"^{V.TAG_PATTERN}$"))
+    bad = F.exists(clean, lambda t: ~t.rlike(rf"\A(?:{V.TAG_PATTERN})\z"))
     return (F.when(bad, "tags must be 1-32 lowercase letters, numbers, '.', '_' or '-'")
             .when(F.size(clean) > V.MAX_TAGS, "a repository may have at most 20 tags"))
 
 
 def git_source_error(url: Column, branch: Column) -> Column:
     """Null for an acceptable remote; otherwise the first reason to refuse it."""
-    clean, ref = F.trim(url), F.trim(branch)
+    clean, ref = stripped(url), stripped(branch)
     scheme = F.lower(F.regexp_extract(clean, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     authority = F.regexp_extract(clean, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     user = F.regexp_extract(authority, r"^(.*)@", 1)
     address = F.regexp_replace(authority, r"^.*@", "")
     host = F.lower(F.when(address.startswith("["), F.regexp_extract(address, r"^\[([^\]]*)\]", 1))
                    .otherwise(F.substring_index(address, ":", 1)))
-    branch_ok = ref.rlike(f"^{V.BRANCH_PATTERN}$") & ~ref.contains("..") & ~ref.contains("//")
+    branch_ok = ref.rlike(rf"\A(?:{V.BRANCH_PATTERN})\z") & ~ref.contains("..") & ~ref.contains("//")
     return (F.when(~scheme.isin("https", "http") | (host == ""), "git_url must be an absolute HTTP(S) URL")
             .when(user.rlike("[^:]"), "credentials must not be embedded in git_url")
             .when(host.isin(*V.LOCAL_HOSTS), "local Git hosts are not allowed")

@@ -29,6 +29,7 @@ class Analysis:
     imports: DataFrame
     warnings: DataFrame
     warning_counts: DataFrame
+    scan_warnings: DataFrame
 
     def languages(self) -> DataFrame:
         return R.language_stats(self.files)
@@ -37,7 +38,7 @@ class Analysis:
         return R.repository_metrics(self.files, self.folders, self.functions, self.classes, self.modules, self.imports)
 
     def summary(self) -> DataFrame:
-        return R.run_summary(self.files)
+        return R.run_summary(self.files, self.scan_warnings)
 
     def tables(self) -> dict[str, DataFrame]:
         return {"repository_files": self.files, "repository_folders": self.folders,
@@ -58,7 +59,7 @@ def analyze(raw: DataFrame, max_bytes: int = V.MAX_FILE_BYTES, parse_partitions:
     files = stored(X.with_parse_status(described.drop("text"), symbols), "files")
     warnings, counts = collect_warnings(scan_warnings, X.parse_warnings(files))
     return Analysis(files, R.folder_rollup(files), X.functions_of(symbols), X.classes_of(symbols),
-                    X.modules_of(symbols), X.imports_of(symbols), warnings, counts)
+                    X.modules_of(symbols), X.imports_of(symbols), warnings, counts, scan_warnings)
 
 
 @dataclass(frozen=True)

@@ -15,14 +15,14 @@ WARNING_SCHEMA = "repository_id string, path string, code string, message string
 def scan_source_tree(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files and warnings of a table (repository_id, path, content BINARY[, is_symlink, read_error]).
 
-    Rows below an ignored directory are dropped; symbolic links and unreadable entries become
+    Rows below an ignored directory and entries for directories are dropped; symbolic links and unreadable entries become
     warnings. File tables come from a table or from archives: a raw directory read would lose
     dot and underscore names.
     """
     columns = raw.columns
     link = F.col("is_symlink") if "is_symlink" in columns else F.lit(False)
     problem = F.col("read_error") if "read_error" in columns else F.lit(None).cast("string")
-    kept = raw.where(~S.in_ignored_directory(F.col("path")))
+    kept = raw.where(~S.in_ignored_directory(F.col("path")) & ~F.col("path").endswith("/"))
     files = kept.where(~link & problem.isNull()).select("repository_id", "path", "content")
     warnings = kept.where(link | problem.isNotNull()).select(
         "repository_id", "path",

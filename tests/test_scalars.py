@@ -47,7 +47,7 @@ def test_vocabulary(spark):
     assert column_values(spark, ["imports", "instantiates", "exports", "custom_rel"], S.edge_type) == ["IMPORTS", "CREATES", "EXPOSES", "CUSTOM_REL"]
     assert S.known_edge_types(None) == []
     assert set(S.known_edge_types(["imports", "CALLS", "drop"])) == {"IMPORTS", "CALLS"}
-    assert S.clamp_depth(15) == 8 and S.clean_direction("sideways") == "outgoing"
+    assert S.clamp_depth(15) == 15 and S.clamp_depth(0) == 1 and S.clean_direction("sideways") == "outgoing"
 
 
 @pytest.mark.parametrize("url, branch, bad", [
