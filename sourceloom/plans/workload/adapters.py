@@ -48,13 +48,9 @@ select 'estate' as repository_id, src, dst, relationship_type from (
   union all select concat('package:', n_nationkey), concat('repository:', n_regionkey), 'belongs_to' from {nation}
   union all select concat('package:', s_nationkey), concat('module:', s_suppkey), 'contains' from {supplier}
   union all select distinct concat('module:', l_suppkey), concat('file:', l_partkey), 'contains' from {lineitem}
-  union all select concat('file:', a), concat('file:', b), 'imports' from (
-    select a, b, n, row_number() over (partition by a order by n desc, (b * 7919 + a) % 104729, b) as pick
-    from (select x.l_partkey as a, y.l_partkey as b, count(*) as n
-          from {lineitem} x join {lineitem} y
-            on x.l_orderkey = y.l_orderkey and y.l_linenumber = x.l_linenumber + 1
-          where x.l_partkey <> y.l_partkey group by x.l_partkey, y.l_partkey) f) g
-    where pick = 1 or n >= 2
+  union all select distinct concat('file:', x.l_partkey), concat('file:', y.l_partkey), 'imports'
+    from {lineitem} x join {lineitem} y on x.l_orderkey = y.l_orderkey and y.l_linenumber = x.l_linenumber + 1
+    where x.l_partkey <> y.l_partkey
   union all select concat('class:', c_custkey), concat('class:', cast(floor(c_custkey / 2) as bigint)), 'inherits'
     from {customer} where c_custkey >= 1
   union all select concat('function:', o_orderkey), concat('class:', o_custkey), 'uses' from {orders}

@@ -539,9 +539,10 @@ def cycle_edges(spark, folder):
 
 @query("dependency_depth", with_inputs("""
 with pairs as (select distinct src, dst from edges where relationship_type in ('imports', 'uses', 'calls', 'inherits')),
-walk(root, node, depth) as (select distinct src, src, 0 from pairs union
-  select w.root, p.dst, w.depth + 1 from walk w join pairs p on p.src = w.node where w.depth < 160)
-select 'estate' as repository_id, max(depth) as dependency_depth from (select root, node, min(depth) as depth from walk group by root, node) t""", "edges", recursive=True))
+walk(root, node, depth) using key (root, node) as (select distinct src, src, 0 from pairs union
+  select w.root, p.dst, min(w.depth + 1) from walk w join pairs p on p.src = w.node
+  where not exists (from recurring.walk k where k.root = w.root and k.node = p.dst) group by w.root, p.dst)
+select 'estate' as repository_id, max(depth) as dependency_depth from walk""", "edges", recursive=True))
 def dependency_depth(spark, folder):
     graph = estate(spark, folder)
     return K.dependency_depth(graph.nodes, graph.edges)
