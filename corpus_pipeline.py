@@ -11,22 +11,24 @@ from pyspark.sql import functions as F
 
 from sourceloom.llm.byte_bpe import token_digests
 from sourceloom.llm.exact_dedup import exact_duplicates
-from sourceloom.llm.jaccard import jaccard_groups
+from sourceloom.llm.jaccard import near_kept
 from sourceloom.llm.mixing import mixed
 from sourceloom.llm.queries import BYTE_RANKS
 from sourceloom.llm.toxicity import toxicity
 from sourceloom.session import stored
 
 
-def _of(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id ``decided`` holds."""
-    return docs.join(decided.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for each row, _row. Rows are numbered as they are stored, once, so that every later read finds the same
+    numbers however files are split, and rows of repeated or null ids are told apart."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
 
 
 def clean(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The documents that the toxicity chain, learned from the folder's labels, does not reject."""
-    rejected = toxicity(docs, spark.read.parquet(f"{folder}/labels.parquet")).where("rejected").select(F.col("doc_id").alias("_out"))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_out")), "left_anti")
+    rows = _keyed(docs)
+    rejected = toxicity(rows, spark.read.parquet(f"{folder}/labels.parquet"), also=("_row",)).where("rejected").select("_row")
+    return rows.join(rejected, "_row", "left_anti").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -37,11 +39,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8 or more: that with the smallest doc_id.
-
-    Documents with a null id stay if no document of their group has one.
-    """
-    return _of(docs, jaccard_groups(docs).where("component_id <=> doc_id"))
+    """One row of each group linked by five-word shingles at a similarity of 0.8 or more: that with the smallest doc_id, null last."""
+    rows = _keyed(docs)
+    return rows.join(near_kept(rows, "_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

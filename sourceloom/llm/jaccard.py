@@ -111,12 +111,12 @@ class Rings:
         return out
 
 
-def _named(words: int):
+def _named(words: int, carried: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 1 << 20):
             sets = shingle_sets(*binary_buffers(batch.column("text")), words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([set_name(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, carried), pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array([set_name(s) if len(s) else None for s in sets], pa.int64())], [*carried, "n_shingles", "node"])
     return run
 
 
@@ -306,17 +306,12 @@ def _leaves(large: DataFrame, sets: DataFrame, sizes: DataFrame, radius: float)
         large = cells.join(parted, "region", "left_semi").select(F.xxhash64("region", "to").alias("region"), "node")
 
 
-def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text): the groups that links of texts form.
-
-    Two texts are linked when 100 * shared shingles >= percent * all their shingles. component_id is the smallest doc_id of the
-    group. Null and empty texts, and texts without words, have 0 shingles and are groups of their own. Repeated rows and equal
-    ids keep their rows. Rows with a null doc_id take part; a group of none but them has a null component_id. Other columns are
-    not read. Equal texts are compared once, whatever their number.
-    """
-    spark = prepare(docs.sparkSession)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = stored(texts.mapInArrow(_named(words), "doc_id long, n_shingles long, node long"), "rows")
+def _linked(docs: DataFrame, words: int, percent: int, *also: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` as (doc_id, long columns ``also``, n_shingles, node), and (node, component) of the nodes with a link."""
+    prepare(docs.sparkSession)
+    texts = docs.select("doc_id", *also, F.col("text").cast("binary").alias("text"))
+    carried = ("doc_id", *also)
+    rows = stored(texts.mapInArrow(_named(words, carried), ", ".join([*[f"{c} long" for c in carried], "n_shingles long", "node long"])), "rows")
     shared = texts.select("text").mapInArrow(_regions(words, percent), "region long").groupBy("region").count().where("count > 1").select("region")
     shared = stored(shared, "shared")
     marks = Marks(shared, shared.count())
@@ -338,11 +333,33 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     sets = stored(_sets_of(texts, nodes, nodes.count(), words), "shingles")
     close = _leaves(families.select("region", "node"), sets, sets.select("node", "size"), 1 - percent / 100)
     links = stored(close.join(sets, "node").groupBy("region").applyInPandas(_joined(percent), "a long, b long").distinct(), "links")
-    groups = components(links)
+    return rows, components(links)
+
 
+def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text): the groups that links of texts form.
+
+    Two texts are linked when 100 * shared shingles >= percent * all their shingles. component_id is the smallest doc_id of the
+    group. Null and empty texts, and texts without words, have 0 shingles and are groups of their own. Repeated rows and equal
+    ids keep their rows. Rows with a null doc_id take part; a group of none but them has a null component_id. Other columns are
+    not read. Equal texts are compared once, whatever their number.
+    """
+    rows, groups = _linked(docs, words, percent)
     named = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     named = named.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     placed = named.select("node", "component").join(least, "component").select("node", "component_id")
     out = rows.select("doc_id", "n_shingles", "node").join(placed, "node", "left")
     return out.select("doc_id", "n_shingles", F.expr("if(node is null, doc_id, component_id)").alias("component_id"))
+
+
+def near_kept(docs: DataFrame, key: str, words: int = 5, percent: int = 80) -> DataFrame:
+    """The ``key``, a long column that tells the rows of ``docs`` (doc_id, text) apart, of one row of each group of ``jaccard_groups``.
+
+    That with the smallest doc_id stays, null last, then that with the smallest key. Rows without shingles are groups of their own.
+    """
+    rows, groups = _linked(docs, words, percent, key)
+    order = F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col(key).alias("k"))
+    named = rows.where("node is not null").groupBy("node").agg(F.min(order).alias("first")).join(groups, "node", "left")
+    best = named.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("best"))
+    return best.select(F.col("best.k").alias(key)).union(rows.where("node is null").select(key))

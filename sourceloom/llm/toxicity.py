@@ -123,9 +123,9 @@ def _present(packed: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """(doc_id, p_abusive, p_repeated, p_toxic, rejected) of every row of ``docs`` (doc_id, text); ``labels`` has doc_id and
-    ``label`` 0 or 1.
+def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the long columns ``also`` of docs, p_abusive, p_repeated, p_toxic, rejected) of every row of ``docs`` (doc_id, text);
+    ``labels`` has doc_id and ``label`` 0 or 1.
 
     Whole texts are read; null and empty ones have no terms and the probability of such texts. Null labels and ids are not
     learned from, at most SAMPLE other rows are. Without labels of both kinds all probabilities are the label's smoothed share, or
@@ -133,7 +133,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
     empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    carried = ("doc_id", *also)
+    texts = docs.select(*carried, F.col("text").cast("binary").alias("text"))
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     known = F.broadcast(stored(known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "labelled"))
     counted = texts.join(known, "doc_id").select("label", "text").mapInArrow(_term_counts, "term long, n long, t long")
@@ -157,10 +158,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
             edges = np.searchsorted(pairs, np.arange(n + 1) * max(1, width))
             found = (pairs % max(1, width)).astype(np.uint16)
             uses = np.bincount(of[hit][typical[at[hit]]], minlength=n) if width else np.zeros(n, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([found[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()), pa.array(uses, pa.int64())],
-                                             ["doc_id", "found", "uses"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, carried), pa.array([found[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()), pa.array(uses, pa.int64())],
+                                             [*carried, "found", "uses"])
 
-    rows = stored(texts.mapInArrow(matched, "doc_id long, found binary, uses long"), "terms")
+    kinds = [f"{c} long" for c in carried]
+    rows = stored(texts.mapInArrow(matched, ", ".join([*kinds, "found binary", "uses long"])), "terms")
     sample = rows.join(known, "doc_id").select("doc_id", "label", "found", "uses").distinct().toPandas().sort_values(["doc_id", "found"], ignore_index=True)
     y, uses = sample["label"].to_numpy(int), sample["uses"].to_numpy(int)
     folds = (mix(sample["doc_id"].to_numpy(np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(int)
@@ -170,7 +172,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "found", 64 << 10):
             found = chain.score(_present(batch.column("found").to_pylist(), width))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c) for c in found.T]], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, carried), *[pa.array(c) for c in found.T]], [*carried, *names])
 
-    out = rows.mapInArrow(scored, ", ".join(["doc_id long", *[f"{n} double" for n in names]]))
+    out = rows.mapInArrow(scored, ", ".join([*kinds, *[f"{n} double" for n in names]]))
     return out.withColumn("rejected", F.col(names[-1]) > REJECT)
