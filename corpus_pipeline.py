@@ -32,10 +32,10 @@ def clean(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One row of each group of equal texts; rows are numbered as they are stored, so that repeated ids are told apart."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = exact_duplicates(numbered, also=("_row",)).where("kept").select("_row")
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    """One row of each group of equal texts."""
+    rows = _keyed(docs)
+    kept = exact_duplicates(rows, also=("_row",)).where("kept").select("_row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -33,3 +33,26 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
             (None, None), (None, ""), (4, " "), (4, " ")]
     found = Counter((r.doc_id, (r.text or " ").split(" ")[0][:1]) for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), SF).collect())
     assert found == Counter([(7, "a"), (None, "b"), (9, "c"), (3, "d"), (None, "e"), (None, ""), (None, ""), (4, ""), (4, "")])
+
+
+def test_exact_dedup_when_files_are_split_anew(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i % 150}") for i in range(300)]
+    frame(spark, rows).repartition(6, "doc_id").write.parquet(str(tmp_path / "docs"))
+    setting = "spark.sql.files.maxPartitionBytes"
+    found = corpus_pipeline.exact_duplicates
+
+    def then_split_anew(*given, **named):
+        decided = found(*given, **named)
+        spark.conf.set(setting, "64k")
+        return decided
+
+    monkeypatch.setattr(corpus_pipeline, "exact_duplicates", then_split_anew)
+    usual = {setting: "128m", "spark.sql.files.openCostInBytes": "4m", "spark.sql.files.minPartitionNum": "1"}
+    for name, value in usual.items():
+        spark.conf.set(name, value)
+    try:
+        kept = [r.text for r in corpus_pipeline.exact_dedup(spark, spark.read.parquet(str(tmp_path / "docs")), SF).collect()]
+    finally:
+        for name in usual:
+            spark.conf.unset(name)
+    assert Counter(kept) == Counter({f"text {i}": 1 for i in range(150)})
