@@ -9,6 +9,7 @@ each holds the ids of its documents, their lengths, and both streams.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -66,6 +67,13 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.ids, self.ends = array("I"), array("q", [0])
+        added = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.plain = not any(t.normalized or t.single_word or t.lstrip or t.rstrip for _, t in added)
+        self.special = {t.content.encode(): k for k, (_, t) in enumerate(added)}  # their numbers, which no word has
+        for i, _ in added:
+            self.ids.append(i)
+            self.ends.append(len(self.ids))
+        self.literal = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or b"(?!)")
 
         self.numbers = SpanNumbers(self.numbers_of, 21)
 
@@ -105,16 +113,51 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return data + np.uint8(32) * upper, starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+def _literals(data: np.ndarray, offsets: np.ndarray, cache: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and numbers of the special tokens that stand literally in the documents, the leftmost and longest ones."""
+    raw, found = data.tobytes(), []
+    if cache.literal.search(raw):
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            found += [(*m.span(), cache.special[m.group()]) for m in cache.literal.finditer(raw, a, b)]
+    starts, ends, numbers = np.array(found, np.int64).reshape(-1, 3).T
+    return starts, ends, numbers
+
+
+def _parted(starts: np.ndarray, ends: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of parts with the spans ``begin`` to ``end`` as parts of their own, and which parts those are."""
+    edges = np.unique(np.concatenate([begin, end]))
+    at = np.searchsorted(starts, edges) - 1
+    cuts = edges[(at >= 0) & (edges < ends[at])]
+    starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    over = np.searchsorted(begin, starts, "right") - 1
+    outside = (over < 0) | (starts >= end[over])
+    starts, ends = np.concatenate([starts[outside], begin]), np.concatenate([ends[outside], end])
+    order = np.argsort(starts, kind="stable")
+    return starts[order], ends[order], (np.arange(len(starts)) >= int(outside.sum()))[order]
+
+
+def word_ids(data: np.ndarray, offsets: np.ndarray, path: str, special: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all documents in a row and the number of ids before each, part of word by part of word.
 
-    The tokenizer must lower-case, and split at white space and between letters, digits and other signs.
+    The tokenizer must lower-case, and split at white space and between letters, digits and other signs. With ``special``, special
+    tokens that stand literally in a text are their ids, as the library has it by default; else they are ordinary text. Special
+    tokens must be matched as they are: not after normalising, as whole words or with the white space around.
     """
     if path not in _CACHES or len(_CACHES[path]) > CACHE_WORDS:
         _CACHES[path] = _Words(path)
     cache = _CACHES[path]
+    if special and not cache.plain:
+        raise ValueError(f"{path} has special tokens that are not matched as they are")
+    begin, end, numbers = _literals(data, offsets, cache) if special else [np.zeros(0, np.int64)] * 3
     data, starts, ends, before = _pieces(data, offsets)
-    which = cache.numbers.of(data, starts, ends)
+    if len(begin):
+        starts, ends, literal = _parted(starts, ends, begin, end)
+        before = np.searchsorted(starts, offsets)
+        which = np.zeros(len(starts), np.int64)
+        which[literal] = numbers
+        which[~literal] = cache.numbers.of(data, starts[~literal], ends[~literal])
+    else:
+        which = cache.numbers.of(data, starts, ends)
     bounds = np.frombuffer(cache.ends, np.int64)
     first = bounds[which]
     counts = bounds[which + 1] - first
@@ -126,7 +169,7 @@ def word_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarr
 def _tokens(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 4 << 20):
-            ids, before = word_ids(*binary_buffers(batch.column("text")), path)
+            ids, before = word_ids(*binary_buffers(batch.column("text")), path, special=True)
             ids = np.insert(ids, before[1:], end_id)
             before = before + np.arange(len(before))
             kind = np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.uint32
@@ -182,8 +225,8 @@ def _compact(df: DataFrame, name: str) -> DataFrame:
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder_name: str = "tokens") -> tuple[DataFrame, DataFrame]:
     """Encode ``docs`` (doc_id, text) and write their ids in ascending doc_id order; returns the blocks read back and the id of each rank.
 
-    ``tokenizer`` is a tokenizers file that every machine holds and that splits at white space. Null and empty texts have only
-    ``end_id``. Null ids come first; rows of one id stand next to each other, by their ids' bytes. An empty table gives no blocks.
+    ``tokenizer`` is a tokenizers file that every machine holds and that splits at white space; its special tokens are matched in the
+    texts as the library does by default. Null and empty texts have only ``end_id``. Null ids come first; rows of one id stand next to each other, by their ids' bytes. An empty table gives no blocks.
     Ids are counted over all documents; the counts, one for each id of the vocabulary, are all that the driver holds.
     """
     spark = prepare(docs.sparkSession)

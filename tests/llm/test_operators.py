@@ -233,6 +233,18 @@ def test_token_files(spark, odd):
             assert (r.n_tokens, r.ids_crc32) == (len(of[r.doc_id]), zlib.crc32(of[r.doc_id].tobytes()))
 
 
+def test_token_files_match_special_tokens_as_the_library_does(spark):
+    tokenizer, start, end, rng = Tokenizer.from_file(queries.WORD_TOKENIZER), "<|startoftext|>", "<|endoftext|>", random.Random(9)
+    assert tokenizer.encode(f"end {end} of", add_special_tokens=False).ids == [806, 49407, 539]
+    signs = [*SIGNS, end, start, end.upper(), "<", "|>", "endoftext", "<|endof", "text|>", "'", "\u0301"]
+    texts = [f"end {end} of", "", end, end + start, f"it'{end}s", "a<|endof", "text|>b", f"!{end}!", end.upper(), f"J{end}\u030c",
+             *["".join(rng.choice(signs) for _ in range(rng.randint(0, 20))) for _ in range(5000)]]
+    want = [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4") for t in texts]
+    got = token_files.token_directory(*token_files.write_tokens(frame(spark, list(enumerate(texts))), queries.WORD_TOKENIZER, 2)).collect()
+    assert len(got) == len(texts)
+    assert all((r.n_tokens, r.ids_crc32) == (len(want[r.doc_id]), zlib.crc32(want[r.doc_id].tobytes())) for r in got)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     labels = spark.createDataFrame([], LABELS)
