@@ -52,8 +52,8 @@ def _placed(pivots: np.ndarray):
             norm = (x ** 2).sum(axis=1)
             distance = np.sqrt(np.maximum(0, norm[:, None] - 2 * x @ pivots.T + square))
             pivot = distance.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), pa.array(pivot, pa.int32()),
-                                              pa.array(distance[np.arange(len(x)), pivot]), pa.array(np.sqrt(norm))], ["vec_id", "vector", "pivot", "distance", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), batch.column("vector"), pa.array(pivot, pa.int32()),
+                                              pa.array(distance[np.arange(len(x)), pivot]), pa.array(np.sqrt(norm))], ["row", "vec_id", "vector", "pivot", "distance", "norm"])
     return run
 
 
@@ -109,7 +109,7 @@ def top_k(vectors: DataFrame, k: int = 20, scale: float = 64, query_step: int =
     """(query_id, rank, vec_id, score) of the k best rows of ``vectors`` (vec_id, embedding) for each query.
 
     Components become floor(scale * x). Queries are the rows whose id is divisible by ``query_step``; a query meets every row but
-    those of its own id. Scores are inner products, ties go to the smaller id, and repeated ids keep their rows. Vectors that are
+    those of its own id; query rows of one id share its ranks. Scores are inner products, ties go to the smaller id, and repeated ids keep their rows. Vectors that are
     null, hold null or a non-finite component, or have a null id take no part; shorter vectors are padded with zeros. Scores are
     exact while squared norms stay below 2**53. With fewer rows than k all are given; an empty table gives none. Pivots come from
     the SAMPLE vectors with the least hashes, the only rows the driver sees; the result does not depend on them.
@@ -119,12 +119,13 @@ def top_k(vectors: DataFrame, k: int = 20, scale: float = 64, query_step: int =
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if dims <= 0:
         return empty
-    plain = stored(vectors.select("vec_id", "embedding").mapInArrow(_integers(scale, dims), "vec_id long, vector binary"), "vectors")
-    sample = plain.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    plain = vectors.select("vec_id", "embedding").mapInArrow(_integers(scale, dims), "vec_id long, vector binary")
+    plain = stored(plain.withColumn("row", F.monotonically_increasing_id()), "vectors")  # numbered once, as it is stored
+    sample = plain.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toPandas()
     if sample.empty:
         return empty
     pivots = choose_pivots(_matrix(sample["vector"], dims), PIVOTS)
-    placed = plain.mapInArrow(_placed(pivots), "vec_id long, vector binary, pivot int, distance double, norm double")
+    placed = plain.mapInArrow(_placed(pivots), "row long, vec_id long, vector binary, pivot int, distance double, norm double")
     reach = F.broadcast(placed.groupBy("pivot").agg(F.max("distance").alias("reach")))
     annulus = F.least(F.floor(F.try_divide(F.col("distance") * ANNULI, F.col("reach"))), F.lit(ANNULI - 1))
     placed = stored(placed.join(reach, "pivot").withColumn("cell", F.col("pivot") * ANNULI + F.coalesce(annulus, F.lit(0)).cast("int")), "placed")
@@ -133,7 +134,7 @@ def top_k(vectors: DataFrame, k: int = 20, scale: float = 64, query_step: int =
     cells["salts"] = -(-cells["n"] // BLOCK)
     salts = dict(zip(cells["cell"].tolist(), cells["salts"].tolist()))
     dealt = F.element_at(F.create_map(*[F.lit(x) for pair in salts.items() for x in pair]), F.col("cell"))
-    blocks = stored(placed.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(7)), dealt).cast("int")).select("cell", "salt", "vec_id", "vector")
+    blocks = stored(placed.withColumn("salt", F.pmod(F.xxhash64("row", F.lit(7)), dealt).cast("int")).select("cell", "salt", "vec_id", "vector")
                     .groupBy("cell", "salt").applyInPandas(_blocks, "cell int, salt int, ids binary, vectors binary"), "blocks")
 
     def first_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,14 +142,14 @@ def top_k(vectors: DataFrame, k: int = 20, scale: float = 64, query_step: int =
             q = _matrix(batch.column("vector").to_pylist(), dims)
             best = bounds(q, cells, pivots)
             best[:, cells["n"].to_numpy() <= k] -= 1e300
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), pa.array(cells["cell"].to_numpy()[best.argmax(axis=1)], pa.int32())],
-                                             ["vec_id", "vector", "cell"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), batch.column("vector"), pa.array(cells["cell"].to_numpy()[best.argmax(axis=1)], pa.int32())],
+                                             ["row", "vec_id", "vector", "cell"])
 
     def floor_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 own, q = np.frombuffer(row["queries"], np.int64), _matrix([row["packed"]], dims)
-                ids, x = np.frombuffer(row["ids"], np.int64), _matrix([row["vectors"]], dims)
+                ids, x = np.frombuffer(row["ids"] or b"", np.int64), _matrix([row["vectors"] or b""], dims)  # null where the cell has no such block
                 scores = q @ x.T
                 at, column = _best(scores, ids, own, k)
                 full = np.bincount(at, minlength=len(own)) == k
@@ -182,12 +183,12 @@ def top_k(vectors: DataFrame, k: int = 20, scale: float = 64, query_step: int =
     def packed(rows: DataFrame) -> DataFrame:
         """Queries of one cell in blocks of QUERIES."""
         count = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("parts")))
-        spread = rows.join(count, "cell").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+        spread = rows.join(count, "cell").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
         grouped = spread.select("cell", "salt", "vec_id", "vector").groupBy("cell", "salt").applyInPandas(_blocks, "cell int, salt int, ids binary, vectors binary")
         return grouped.select("cell", (F.col("cell") * F.lit(1 << 32) + F.col("salt")).alias("block"), F.col("ids").alias("queries"), F.col("vectors").alias("packed"))
 
-    asked = plain.where(F.col("vec_id") % query_step == 0).mapInArrow(first_cell, "vec_id long, vector binary, cell int")
-    first = packed(asked).join(blocks.where("salt = 0"), "cell").select("block", "queries", "packed", "ids", "vectors")
+    asked = plain.where(F.col("vec_id") % query_step == 0).mapInArrow(first_cell, "row long, vec_id long, vector binary, cell int")
+    first = packed(asked).join(blocks.where("salt = 0"), "cell", "left").select("block", "queries", "packed", "ids", "vectors")
     floors = stored(first.mapInArrow(floor_scores, "block long, queries binary, packed binary, floors binary"), "floors")
     pairs = floors.mapInArrow(expanded, "cell int, salts int, queries binary, packed binary, floors binary")
     pairs = pairs.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).join(blocks, ["cell", "salt"])

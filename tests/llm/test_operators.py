@@ -211,6 +211,27 @@ def test_top_k_odd_vectors(spark):
     assert got == [(20, 1, 100 + 1, 4096), (20, 2, 102, 4096), (20, 3, 103, 4096)]
 
 
+def test_top_k_with_one_id_repeated_often(spark):
+    often = spark.range(1, 20).where("pmod(xxhash64(id, 7), 2) = 1").first().id  # by the id alone, all copies go to the second block
+    rows = [(often, [100.0, 100.0])] * 2500 + [(20, [-50.0, 3.0]), (40, [-40.0, 0.0])]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).orderBy("query_id", "rank").collect()]
+    assert got == [(20, 1, 40, 64 * 64 * 2000), *[(20, k, often, 64 * 64 * -4700) for k in (2, 3)], (40, 1, 20, 64 * 64 * 2000), *[(40, k, often, 64 * 64 * -4000) for k in (2, 3)]]
+
+
+def test_top_k_blocks_stay_small(spark, monkeypatch):
+    stored, sizes = topk.stored, []
+
+    def watched(df, name):
+        out = stored(df, name)
+        if name == "blocks":
+            sizes.extend(r.n for r in out.selectExpr("octet_length(ids) / 8 as n").collect())
+        return out
+
+    monkeypatch.setattr(topk, "stored", watched)
+    topk.top_k(spark.createDataFrame([(7, [1.0, 2.0])] * 9000 + [(20, [1.0, 1.0])], "vec_id long, embedding array<float>"), k=3).count()
+    assert sum(sizes) == 9001 and max(sizes) < 1.5 * topk.BLOCK
+
+
 def test_packed_numbers():
     numbers = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], np.uint32)
     assert token_files.unpack(*token_files.pack(numbers), len(numbers)).tolist() == numbers.tolist()
