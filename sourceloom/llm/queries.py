@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sourceloom.llm.byte_bpe import token_digests
 from sourceloom.llm.exact_dedup import exact_duplicates
 from sourceloom.llm.jaccard import jaccard_groups
+from sourceloom.llm.lattice_dedup import near_vectors
 from sourceloom.llm.mixing import SYMBOLS, mixed
 from sourceloom.llm.quality import quality_scores
 from sourceloom.llm.token_counts import Edit, edited_counts
@@ -80,8 +81,13 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_directory(*write_tokens(_table(spark, folder, "documents"), WORD_TOKENIZER, END_ID))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"), cosine=0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_toxicity, op4_url_filter, op5_quality_classifier, op6_byte_bpe, op7_token_counts, op8_source_mix, op9_exact_top_k, op10_token_files)}
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_toxicity, op4_url_filter, op5_quality_classifier, op6_byte_bpe, op7_token_counts, op8_source_mix, op9_exact_top_k, op10_token_files,
+                              op11_embedding_near_dedup)}
 
 _OP2_SQL = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain,
@@ -144,4 +150,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": _OP2_SQL, "op4_url_filter": _OP4_SQL, "op8_source_mix": _OP8_SQL, "op9_exact_top_k": _OP9_SQL}
+_OP11_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding AS x, row_number() OVER () AS r FROM embeddings),
+v AS (SELECT r, vec_id, label, list_transform(x, lambda c: c::DOUBLE) AS x FROM e WHERE label IS NOT NULL AND len(x) > 0
+      AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM v a, v b WHERE a.label = b.label AND a.r <> b.r AND list_cosine_similarity(a.x, b.x) >= 0.93),
+n AS (SELECT a AS r, count(*) AS links FROM l GROUP BY a),
+c AS (SELECT r, r AS other FROM e UNION SELECT c.r, l.b FROM c JOIN l ON l.a = c.other),
+m AS (SELECT c.r, min(e.vec_id) AS component_id FROM c JOIN e ON e.r = c.other GROUP BY c.r)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM e JOIN m USING (r) LEFT JOIN n USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": _OP2_SQL, "op4_url_filter": _OP4_SQL, "op8_source_mix": _OP8_SQL, "op9_exact_top_k": _OP9_SQL,
+                              "op11_embedding_near_dedup": _OP11_SQL}
