@@ -14,6 +14,7 @@ from sourceloom.llm.exact_dedup import exact_duplicates
 from sourceloom.llm.jaccard import jaccard_groups
 from sourceloom.llm.lattice_dedup import near_vectors
 from sourceloom.llm.mixing import SYMBOLS, mixed
+from sourceloom.llm.periodic_runs import periodic_runs
 from sourceloom.llm.quality import quality_scores
 from sourceloom.llm.token_counts import Edit, edited_counts
 from sourceloom.llm.token_files import token_directory, write_tokens
@@ -85,9 +86,29 @@ def op11_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"), cosine=0.93)
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with a periodic end planted in the texts of one id in ten, at a place and with a period that the id's
+    crc32 gives; null ids and texts without words stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(h % 10 == 0, F.expr(r"regexp_extract_all(text, r'[^\x20\x09-\x0D]+', 0)")))
+    planted = words.withColumn("g", F.floor(F.col("h") / 10)).withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    planted = planted.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    text = F.expr("array_join(transform(sequence(0L, n - 1L), i -> get(words, cast(if(i < a, i, a + (i - a) % p) as int))), ' ')")
+    return planted.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs(with_periods(_table(spark, folder, "documents")))
+    best = "array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))"
+    return found.withColumn("best", F.expr(best)).selectExpr(
+        "doc_id", "cast(size(runs) as bigint) as n_runs", "-best.start as start", "best.length as length", "-best.period as period",
+        "1000 * best.length div -best.period as exponent_milli",
+        r"sha2(array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), ''), 256) as runs_sha256", "sha2(collapsed, 256) as collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_toxicity, op4_url_filter, op5_quality_classifier, op6_byte_bpe, op7_token_counts, op8_source_mix, op9_exact_top_k, op10_token_files,
-                              op11_embedding_near_dedup)}
+                              op11_embedding_near_dedup, op12_periodic_runs)}
 
 _OP2_SQL = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain,
