@@ -1,7 +1,7 @@
 """Near duplicates among embeddings by lattice hashing.
 
-Every table projects a vector onto eight random directions and rounds it to the nearest point of the E8 lattice. A vector lies in the
-cell of that point and also visits the nearest of its 240 neighbouring cells; two vectors are candidates where one visits the cell in
+Every table projects a vector onto random directions and rounds each eight of them to the nearest point of the E8 lattice. A vector
+lies in the cell of those points and also visits the nearest of the neighbouring cells (each point has 240 neighbours); two vectors are candidates where one visits the cell in
 which the other lies, and they are linked after their cosine has been computed in double precision.
 
 A large group of near copies would fill one cell of every table. So the means of the most crowded cells of the first table become
@@ -27,13 +27,14 @@ from sourceloom.llm.components import components
 from sourceloom.llm.textarrays import mix
 from sourceloom.session import prepare, stored
 
-#: Hash tables, neighbouring cells visited in each, and the width of a lattice step on the unit sphere. Two vectors at a cosine of 0.93
-#: meet with a probability of 0.98, at 0.96 of 0.9999; two random ones share one of the fifty cells with a probability of 1 in 500.
-TABLES, VISITS, WIDTH = 10, 4, 1.0
+#: Hash tables, blocks of eight directions in each, cells a vector visits there, and the width of a lattice step on the unit sphere.
+#: Two vectors at a cosine of 0.93 meet with a probability of 0.97, at 0.96 of 0.9999, two random ones with one of 1 in 50,000.
+TABLES, BLOCKS, VISITS, WIDTH = 12, 4, 5, 2.75
 #: Rows from which on a cell is crowded, and the share of all rows it must hold, so that there are at most as many centres.
-CROWD, CENTRES = 64, 1024
+CROWD, CENTRES = 32, 1024
 #: Vectors of a block and pairs whose shared cells are looked up at a time.
 BLOCK, PAIRS = 512, 1 << 14
+_BASE = 0x9E3779B97F4A7C15
 #: Room for rounding in what is concluded from angles.
 ROOM = 1e-7
 
@@ -77,22 +78,30 @@ class Lattice:
 
     def __init__(self, dims: int) -> None:
         rng = np.random.default_rng(20240811)
-        self.directions, self.shifts = rng.normal(size=(TABLES, dims, 8)) / WIDTH, rng.random((TABLES, 8))
+        self.directions, self.shifts = rng.normal(size=(TABLES, BLOCKS, dims, 8)) / WIDTH, rng.random((TABLES, BLOCKS, 8))
 
     def cells(self, x: np.ndarray, labels: np.ndarray, tables: int = TABLES) -> np.ndarray:
         """Cell keys (vector, table, visit); the first visit is the vector's own cell, the others follow by distance."""
-        out = np.empty((len(x), tables, 1 + VISITS), np.int64)
-        base = mix(labels.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        out, every = np.empty((len(x), tables, VISITS), np.int64), np.arange(len(x))[:, None]
+        base = mix(labels.astype(np.int64).view(np.uint64) + np.uint64(_BASE))
         for t in range(tables):
-            z = x @ self.directions[t] + self.shifts[t]
-            own = nearest_points(z)
-            toward = (z - own) @ NEIGHBOURS.T
-            order = np.argsort(-toward, axis=1, kind="stable")[:, :VISITS]
-            points = np.concatenate([own[:, None], own[:, None] + NEIGHBOURS[order]], axis=1)
-            key = np.repeat(mix(base + np.uint64(t))[:, None], 1 + VISITS, axis=1)
-            for k in range(8):
-                key = mix(key ^ (2 * points[:, :, k]).astype(np.int64).view(np.uint64))
-            out[:, t] = key.view(np.int64)
+            keys, costs = mix(base + np.uint64(t))[:, None], np.zeros((len(x), 1))
+            for b in range(BLOCKS):
+                z = x @ self.directions[t, b] + self.shifts[t, b]
+                own = nearest_points(z)
+                farther = 2 - 2 * (z - own) @ NEIGHBOURS.T
+                near = np.argpartition(farther, VISITS - 2, axis=1)[:, :VISITS - 1]
+                moves = np.concatenate([np.zeros((len(x), 1, 8)), NEIGHBOURS[near]], axis=1)
+                point = np.zeros((len(x), VISITS), np.uint64)
+                for k in range(8):
+                    point = mix(point ^ (2 * (own[:, None, k] + moves[:, :, k])).astype(np.int64).view(np.uint64))
+                cost = np.concatenate([np.zeros((len(x), 1)), farther[every, near]], axis=1)
+                # the cheapest ways to go on from the cheapest ways so far; staying costs nothing
+                costs = (costs[:, :, None] + cost[:, None]).reshape(len(x), -1)
+                keys = mix(keys[:, :, None] * np.uint64(_BASE) + point[:, None]).reshape(len(x), -1)
+                best = np.argsort(costs, axis=1, kind="stable")[:, :VISITS]
+                costs, keys = costs[every, best], keys[every, best]
+            out[:, t] = keys.view(np.int64)
         return out
 
 
@@ -135,7 +144,7 @@ def _tally(rows: np.ndarray, links: np.ndarray, to: np.ndarray) -> pa.RecordBatc
 TALLY = "row long, links long, node long"
 
 
-def _compared(lattice: Lattice, dims: int, cosine: float):
+def _compared(dims: int, cosine: float):
     """Links between the visitors and the residents of a cell that no earlier shared cell has counted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,11 +157,7 @@ def _compared(lattice: Lattice, dims: int, cosine: float):
                 i, j = i[differ], j[differ]
                 if not len(i):
                     continue
-                label = np.array([pair["label"].as_py()])
-                used, i = np.unique(i, return_inverse=True)
-                met, j = np.unique(j, return_inverse=True)
-                ours, theirs = ours[used], theirs[met]
-                x, y = (lattice.cells(v, np.repeat(label, len(v))) for v in (x[used], y[met]))
+                x, y = (np.frombuffer(b"".join(pair[c].as_py()), np.int64).reshape(-1, TABLES, VISITS) for c in ("visited", "lain"))
                 counted = []
                 for k in range(0, len(i), PAIRS):
                     a, b = i[k:k + PAIRS], j[k:k + PAIRS]
@@ -187,11 +192,11 @@ def _members_compared(dims: int, cosine: float):
     return run
 
 
-def _blocks(rows: DataFrame, keys: list[str], names: tuple[str, str], more: list[str] = []) -> DataFrame:
-    """The rows and vectors of each key in blocks of about BLOCK, however many they are."""
+def _blocks(rows: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """The rows of each key in blocks of about BLOCK, however many they are; ``columns`` are gathered under other names."""
     sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     dealt = rows.join(sizes, keys).withColumn("salt", F.pmod(F.xxhash64("row", F.lit(3)), F.col("blocks")))
-    return dealt.groupBy(*keys, "salt").agg(*[F.collect_list(c).alias(n) for c, n in zip(("row", "vector", *more), (*names, *more))]).drop("salt")
+    return dealt.groupBy(*keys, "salt").agg(*[F.collect_list(c).alias(name) for c, name in columns.items()]).drop("salt")
 
 
 def _centres(spark, rows: DataFrame, lattice: Lattice, dims: int, total: int, half: float) -> tuple[np.ndarray, np.ndarray]:
@@ -275,27 +280,29 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
         tallies.append(rows.where("ball >= 0").join(F.broadcast(visits), "ball").select("row", "links", F.col("row").alias("node")))
         unsure = met.where("not sure and ball <> own").select("row", F.col("ball").alias("other"))
         visitors = rows.join(unsure, "row").select(F.col("other").alias("ball"), "row", "vector", (F.col("ball") < 0).alias("loose"))
-        pairs = _blocks(visitors, ["ball"], ("visitors", "visiting"), ["loose"]).join(_blocks(rows.where("ball >= 0"), ["ball"], ("residents", "residing")), "ball")
+        pairs = _blocks(visitors, ["ball"], {"row": "visitors", "vector": "visiting", "loose": "loose"}).join(
+            _blocks(rows.where("ball >= 0"), ["ball"], {"row": "residents", "vector": "residing"}), "ball")
         tallies.append(pairs.mapInArrow(_members_compared(dims, cosine), TALLY))
 
-    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             cells = lattice.cells(units(batch.column("vector").to_pylist(), dims), batch.column("label").to_numpy())
-            n, shape = batch.num_rows, cells.shape[1:]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column("row").to_numpy(), shape[0] * shape[1])), pa.array(np.repeat(batch.column("label").to_numpy(), shape[0] * shape[1])),
-                 pa.array(np.tile(np.repeat(np.arange(shape[0], dtype=np.int32), shape[1]), n)), pa.array(cells.reshape(-1)),
-                 pa.array(np.tile(np.arange(shape[1]) == 0, n * shape[0]))], ["row", "label", "tab", "cell", "own"])
-
-    loose = rows.where("ball < 0").select("row", "label", "vector")
-    visits = stored(loose.mapInArrow(visited, "row long, label long, tab int, cell long, own boolean"), "visits")
-    shared = visits.groupBy("tab", "cell").agg(F.count("*").alias("n"), F.count_if("own").alias("lying")).where("n > 1 and lying > 0").select("tab", "cell")
-    met = visits.join(shared, ["tab", "cell"]).join(loose.select("row", "vector"), "row")
-    residents, keys = met.where("own"), ["label", "tab", "cell"]
-    pairs = _blocks(met, keys, ("visitors", "visiting")).join(_blocks(residents, keys, ("residents", "residing")), keys)
-    tallies.append(pairs.mapInArrow(_compared(lattice, dims, cosine), TALLY))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vector"), pa.array([c.tobytes() for c in cells], pa.binary())], ["row", "vector", "cells"])
+
+    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.int64)
+            visit = np.tile(np.arange(TABLES * VISITS), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("row").to_numpy(), TABLES * VISITS)), pa.array((visit // VISITS).astype(np.int32)),
+                                              pa.array(cells), pa.array(visit % VISITS == 0)], ["row", "tab", "cell", "own"])
+
+    loose = stored(rows.where("ball < 0").select("row", "label", "vector").mapInArrow(hashed, "row long, vector binary, cells binary"), "hashed")
+    visits, keys = loose.select("row", "cells").mapInArrow(visited, "row long, tab int, cell long, own boolean"), ["tab", "cell"]
+    shared = visits.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("own").alias("lying")).where("n > 1 and lying > 0").select(*keys)
+    met = stored(visits.join(shared, keys).join(loose, "row"), "met")
+    pairs = _blocks(met, keys, {"row": "visitors", "vector": "visiting", "cells": "visited"}).join(
+        _blocks(met.where("own"), keys, {"row": "residents", "vector": "residing", "cells": "lain"}), keys)
+    tallies.append(pairs.mapInArrow(_compared(dims, cosine), TALLY))
 
     tally = tallies[0]
     for more in tallies[1:]:

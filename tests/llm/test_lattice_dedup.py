@@ -76,15 +76,19 @@ def test_against_brute_force(spark, hot):
         assert max(r[1] for r in got) > 250  # a third of the copies has each label
 
 
-def test_borders_of_balls_are_exact(spark):
-    """With one crowded group every pair has a side in a ball."""
+def test_balls_are_exact(spark, monkeypatch):
+    """Where every row lies in one of two balls that lie close together, or near them, no link depends on the tables."""
     rng = np.random.default_rng(4)
-    centre = unit(rng)
-    rows = [(i, near(rng, centre, c).tolist(), 1) for i, c in enumerate([*np.linspace(0.9826, 1, 400), *np.linspace(0.8, 0.982, 100)])]
-    found = lattice_dedup.near_vectors(frame(spark, rows)).collect()
-    want = {r[0]: r for r in brute(rows)}
-    linked = [r for r in found if r.vec_id < 400]
-    assert all(tuple(r) == want[r.vec_id] for r in linked)
+    one = unit(rng)
+    two = near(rng, one, 0.95)
+    monkeypatch.setattr(lattice_dedup, "_centres", lambda *_: (np.array([1, 1, 2]), np.array([one, two, one])))
+    rows = [(i, near(rng, (one, two)[i % 2], c).tolist(), 1) for i, c in enumerate(np.linspace(0.985, 1, 900))]
+    loose = [(1000 + i, near(rng, one, c).tolist(), 1) for i, c in enumerate(np.linspace(0.85, 0.98, 12))]
+    want = {r[0]: r for r in brute(rows + loose)}
+    found = lattice_dedup.near_vectors(frame(spark, rows + loose)).collect()
+    assert len(found) == len(want)
+    differ = [(tuple(r), want[r.vec_id]) for r in found if tuple(r) != want[r.vec_id]]
+    assert all(r[0] >= 1000 and r[1] <= w[1] for r, w in differ) and len(differ) <= 2  # two loose ones that no table holds together
 
 
 def test_recall_at_the_threshold():
@@ -97,7 +101,7 @@ def test_recall_at_the_threshold():
         met = ((a == b[:, :, :1]) | (b == a[:, :, :1])).any(axis=(1, 2))
         assert met.mean() >= least
     strangers = (a == np.roll(b, 1, axis=0)[:, :, :1]).any(axis=(1, 2))
-    assert strangers.mean() < 0.01
+    assert strangers.mean() < 0.002
 
 
 def test_nearest_points():
