@@ -15,6 +15,7 @@ from sourceloom.llm.jaccard import jaccard_groups
 from sourceloom.llm.lattice_dedup import near_vectors
 from sourceloom.llm.mixing import SYMBOLS, mixed
 from sourceloom.llm.periodic_runs import periodic_runs
+from sourceloom.llm.phrases import collocations
 from sourceloom.llm.quality import quality_scores
 from sourceloom.llm.token_counts import Edit, edited_counts
 from sourceloom.llm.token_files import token_directory, write_tokens
@@ -106,9 +107,13 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         r"sha2(array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), ''), 256) as runs_sha256", "sha2(collapsed, 256) as collapsed_sha256")
 
 
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(_table(spark, folder, "documents"), longest=5, least=100, reported=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_toxicity, op4_url_filter, op5_quality_classifier, op6_byte_bpe, op7_token_counts, op8_source_mix, op9_exact_top_k, op10_token_files,
-                              op11_embedding_near_dedup, op12_periodic_runs)}
+                              op11_embedding_near_dedup, op12_periodic_runs, op13_phrase_collocations)}
 
 _OP2_SQL = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain,
@@ -183,5 +188,21 @@ SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, component_id, vec_id IS NO
 FROM e JOIN m USING (r) LEFT JOIN n USING (r)
 """
 
+_OP13_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+b AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, w[i:i + m - 1] AS w, count(*) AS f FROM b, range(1, 6) AS s(m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE len(w) = 1 GROUP BY lang),
+c AS (SELECT lang, w, f AS a FROM g WHERE len(w) > 1 AND f >= 100),
+d AS (SELECT DISTINCT lang, w[i:j] AS w, a FROM c, range(1, 6) AS s(i), range(1, 6) AS e(j) WHERE i <= j AND j <= len(w) AND j - i + 1 < len(w)),
+x AS (SELECT c.*, k FROM c, range(1, 5) AS s(k) WHERE k < len(w) AND NOT EXISTS (SELECT 1 FROM d WHERE d.lang = c.lang AND d.w = c.w AND 100 * d.a >= 100 * c.a)),
+s AS (SELECT x.lang, x.w, a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM x JOIN n ON n.lang = x.lang JOIN g l ON l.lang = x.lang AND l.w = x.w[1:k] JOIN g r ON r.lang = x.lang AND r.w = x.w[k + 1:len(x.w)]),
+m AS (SELECT *, array_to_string(w, ' ') AS phrase FROM s QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM m QUALIFY rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": _OP2_SQL, "op4_url_filter": _OP4_SQL, "op8_source_mix": _OP8_SQL, "op9_exact_top_k": _OP9_SQL,
-                              "op11_embedding_near_dedup": _OP11_SQL}
+                              "op11_embedding_near_dedup": _OP11_SQL, "op13_phrase_collocations": _OP13_SQL}
