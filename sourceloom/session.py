@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,4 +103,39 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned, once nothing that is still to be computed reads them. Other frames are left alone."""
+    for table in tables:
+        path = getattr(table, "stored_at", None)
+        if path:
+            context = table.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def row_key(df: DataFrame, name: str) -> DataFrame | None:
+    """``df`` with a struct column ``name`` that tells its rows apart however often and in whatever splits they are read: the file and
+    the row's number in it. None unless ``df`` is a table of Parquet files as they are, all of its rows once."""
+    try:
+        place = df.metadataColumn("_metadata")
+        keyed = df.select("*", F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row")).alias(name))
+        files = df.select(place["file_path"].alias("path"), place["row_index"].alias("row"))
+    except AnalysisException:
+        return None
+    counts = files.groupBy("path").agg(F.count("row").alias("n"), F.max("row").alias("last"), F.sum(F.col("row").cast("decimal(38, 0)")).alias("all"))
+    sound = F.bool_and((F.col("n") == F.col("last") + 1) & (2 * F.col("all") == F.col("n").cast("decimal(19, 0)") * F.col("last")))
+    found = counts.agg(sound.alias("sound"), F.count("path").alias("files"), F.count_distinct(F.xxhash64("path")).alias("names")).first()
+    return keyed if found.files == found.names and found.sound is not False else None
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
