@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from sourceloom.llm import jaccard
+from sourceloom.llm import jaccard, phrases
 from sourceloom.llm.phrases import collocations
 
 SCHEMA = "doc_id long, text string, lang string, words int, n string, f long, word string"
@@ -62,6 +62,7 @@ def made(rng, n):
 @pytest.mark.parametrize("longest, least, reported, bits", [(5, 10, 2000, 1 << 25), (5, 10, 7, 1 << 10), (3, 4, 2000, 1 << 10), (7, 6, 50, 1 << 25)])
 def test_against_brute_force(spark, monkeypatch, longest, least, reported, bits):
     monkeypatch.setattr(jaccard, "FILTER_BITS", bits)  # at the smallest size the filter lets pairs pass that are not frequent
+    monkeypatch.setattr(phrases, "GROUP", 5000)
     rows = made(random.Random(least), 400)
     rows += [(None, None), ("", "en"), (" \t\n", "en"), (".", ""), ("x" * 100_000 + " y", "en"), ("one two " * 20_000, "long"), ("r s t u v w", "same")] + [("r s t u v w", "same")] * 40
     got = {tuple(r) for r in collocations(frame(spark, rows), longest, least, reported).collect()}
