@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.session import prepare, stored
+from sourceloom.session import discard, prepare, stored
 
 #: Characters of a block, and of the beginning by which texts are told apart first.
 BLOCK, LEAD = 1024, 256
@@ -24,14 +24,16 @@ def normalised(text: str = "text") -> Column:
 
 
 def _named(parts: DataFrame, *keys: str) -> DataFrame:
-    """``parts`` with the integer name of its keys instead of them: equal keys, and they alone, share a name."""
+    """``parts`` with the integer name of its keys instead of them, stored: equal keys, and they alone, share a name."""
     names = parts.select(*keys).distinct().sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
     names = stored(names, "names")
     same = [parts[k].eqNullSafe(names[k]) for k in keys]
     condition = same[0]
     for more in same[1:]:
         condition = condition & more
-    return parts.join(names, condition).select(*[parts[c] for c in parts.columns if c not in keys], names["name"])
+    out = stored(parts.join(names, condition).select(*[parts[c] for c in parts.columns if c not in keys], names["name"]), "level")
+    discard(names)
+    return out
 
 
 def _identities(texts: DataFrame) -> DataFrame:
@@ -39,17 +41,19 @@ def _identities(texts: DataFrame) -> DataFrame:
     blocks = F.expr(f"regexp_extract_all(plain, '(?s).{{1,{BLOCK}}}', 0)")
     parts = texts.select("row", F.posexplode_outer(blocks).alias("at", "block"))
     parts = parts.select("row", F.coalesce("at", F.lit(0)).alias("at"), F.coalesce("block", F.lit("")).alias("block"))
-    level = stored(_named(parts, "block"), "level")
+    level = _named(parts, "block")
     done = None
     while True:
         longer = level.where("at > 0").select("row").distinct()
-        single = level.join(longer, "row", "left_anti").select("row", "name")
+        single = stored(level.join(longer, "row", "left_anti").select("row", "name"), "single")
         done = single if done is None else done.union(single)
         if longer.isEmpty():
+            discard(level)
             return done
         pairs = level.join(longer, "row", "left_semi").groupBy("row", F.expr("at div 2").cast("int").alias("at")).agg(
             F.max(F.expr("if(at % 2 = 0, name, null)")).alias("one"), F.max(F.expr("if(at % 2 = 1, name, null)")).alias("two"))
-        level = stored(_named(pairs, "one", "two"), "level")
+        level, last = _named(pairs, "one", "two"), level
+        discard(last)
 
 
 def exact_duplicates(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:

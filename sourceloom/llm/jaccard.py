@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 
 from sourceloom.llm.components import components
 from sourceloom.llm.textarrays import binary_buffers, mix, sliced, span_hashes, word_spans
-from sourceloom.session import prepare, stored
+from sourceloom.session import discard, prepare, stored
 
 #: One range in so many is spare: as many of a set's smallest ones are left out.
 SPARE = 3
@@ -307,17 +307,19 @@ def _leaves(large: DataFrame, sets: DataFrame, sizes: DataFrame, radius: float)
 
 
 def _linked(docs: DataFrame, words: int, percent: int, *also: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` as (doc_id, long columns ``also``, n_shingles, node), and (node, component) of the nodes with a link."""
+    """The rows of ``docs`` as (doc_id, columns ``also``, n_shingles, node), and (node, component) of the nodes with a link."""
     prepare(docs.sparkSession)
     texts = docs.select("doc_id", *also, F.col("text").cast("binary").alias("text"))
     carried = ("doc_id", *also)
-    rows = stored(texts.mapInArrow(_named(words, carried), ", ".join([*[f"{c} long" for c in carried], "n_shingles long", "node long"])), "rows")
+    kinds = dict(texts.dtypes)
+    rows = stored(texts.mapInArrow(_named(words, carried), ", ".join([*[f"{c} {kinds[c]}" for c in carried], "n_shingles long", "node long"])), "rows")
     shared = texts.select("text").mapInArrow(_regions(words, percent), "region long").groupBy("region").count().where("count > 1").select("region")
     shared = stored(shared, "shared")
     marks = Marks(shared, shared.count())
     near = stored(texts.select("text").mapInArrow(_members(words, percent, marks), "node long, ring int, size long, sketch binary, regions array<long>"), "near")
     members = near.select("node", "ring", F.explode("regions").alias("region")).join(shared, "region", "left_semi").distinct()
     members = stored(_unique(members), "members")
+    discard(shared)
     counts = members.groupBy("region").agg(F.count("*").alias("n"), F.min("node").alias("head"))
     counted = members.join(counts, "region")
     sketches = near.groupBy("node", "ring").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
@@ -326,6 +328,7 @@ def _linked(docs: DataFrame, words: int, percent: int, *also: str) -> tuple[Data
     tight = tight.groupBy("region").applyInPandas(_neighbours(percent), "a long, b long")
     wide = small.where(F.length("sketch") * F.col("n") > SKETCH_BYTES).select("node", "head").union(counted.where(F.col("n") > SKETCHED).select("node", "head"))
     touching = stored(components(tight.union(wide).where("a <> b").distinct()), "touching")
+    discard(members, near)
 
     families = touching.select("node", F.col("component").alias("region"))
     families = stored(families.union(families.select(F.col("region").alias("node"), "region").distinct()), "families")
@@ -333,7 +336,9 @@ def _linked(docs: DataFrame, words: int, percent: int, *also: str) -> tuple[Data
     sets = stored(_sets_of(texts, nodes, nodes.count(), words), "shingles")
     close = _leaves(families.select("region", "node"), sets, sets.select("node", "size"), 1 - percent / 100)
     links = stored(close.join(sets, "node").groupBy("region").applyInPandas(_joined(percent), "a long, b long").distinct(), "links")
-    return rows, components(links)
+    groups = stored(components(links), "groups")
+    discard(touching, families, sets, links)
+    return rows, groups
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -354,7 +359,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
 
 
 def near_kept(docs: DataFrame, key: str, words: int = 5, percent: int = 80) -> DataFrame:
-    """The ``key``, a long column that tells the rows of ``docs`` (doc_id, text) apart, of one row of each group of ``jaccard_groups``.
+    """The ``key``, a column that tells the rows of ``docs`` (doc_id, text) apart, of one row of each group of ``jaccard_groups``.
 
     That with the smallest doc_id stays, null last, then that with the smallest key. Rows without shingles are groups of their own.
     """

@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sourceloom.session import prepare, stored
+from sourceloom.session import discard, fresh_name, prepare, stored
 
 #: Weights of the sources in code-point order, repeating; share of all sizes to take; most repeats of a source.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
+#: The columns that a mix adds.
+ADDED = ("size", "source_size", "target", "times")
 #: Ranges of keys per source.
 RANGES = 4096
 #: Signs whose share lowers a document's weight.
@@ -76,21 +78,26 @@ def _cuts(drawn: DataFrame) -> DataFrame:
     return cut.join(first.withColumnRenamed("source", "f"), F.col("source").eqNullSafe(F.col("f")), "left").drop("f")
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with size, source_size, target, and times: how often the mix takes it.
+def mixed(docs: DataFrame, names: tuple[str, str, str, str] = ADDED) -> DataFrame:
+    """Every row of ``docs`` with size, source_size, target, and times: how often the mix takes it; ``names`` are the columns' names.
 
     size is the number of words; null texts have 0 and are never counted. A null source is a source of its own, null ids share
     one key and come last among ties. Rows of one id and key are taken together, so repeated rows are decided alike. A source
     without words has target 0. An empty table gives no rows. The taken words of a source differ from its target by at most half
-    the row (or rows of one id) at the cut. Columns of ``docs`` that have one of the added names are replaced.
+    the row (or rows of one id) at the cut. Columns of ``docs`` that have one of the added names are replaced, all others are kept
+    whatever they are called.
     """
     prepare(docs.sparkSession)
     key = sample_key(quality_weight())
     drawn = stored(docs.select("doc_id", "source", word_count().alias("size"), key.alias("key")), "drawn")
-    cuts = stored(_cuts(drawn), "cuts").select(F.col("source").alias("_source"), "source_size", "target", "epochs", "range", "last")
-    mine = docs.drop("size", "source_size", "target", "times").withColumn("size", word_count()).withColumn("_key", key)
-    within = F.struct(F.col("_key").alias("key"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id")) <= F.col("last")
-    early = F.floor(-F.expm1(-F.col("_key")) * RANGES) < F.col("range")
-    joined = mine.join(cuts, F.col("source").eqNullSafe(F.col("_source")))
-    times = F.col("epochs") + F.coalesce((within | early).cast("long"), early.cast("long"), F.lit(0))
-    return joined.withColumn("times", times).drop("_source", "_key", "epochs", "range", "last")
+    cuts = stored(_cuts(drawn), "cuts")
+    discard(drawn)
+    kept = [docs[c] for c in docs.columns if c not in names]
+    row, cut = fresh_name(docs, "row"), fresh_name(docs, "cut")
+    mine = docs.select(*kept, F.struct(F.col("source").alias("source"), word_count().alias("size"), key.alias("key"), F.col("doc_id").alias("doc_id")).alias(row))
+    joined = mine.join(cuts.select(F.struct(*cuts.columns).alias(cut)), F.col(f"{row}.source").eqNullSafe(F.col(f"{cut}.source")))
+    at = F.struct(F.col(f"{row}.key").alias("key"), F.col(f"{row}.doc_id").isNull().alias("none"), F.col(f"{row}.doc_id").alias("doc_id"))
+    within, early = at <= F.col(f"{cut}.last"), F.floor(-F.expm1(-F.col(f"{row}.key")) * RANGES) < F.col(f"{cut}.range")
+    times = F.col(f"{cut}.epochs") + F.coalesce((within | early).cast("long"), early.cast("long"), F.lit(0))
+    added = (F.col(f"{row}.size"), F.col(f"{cut}.source_size"), F.col(f"{cut}.target"), times)
+    return joined.select(*[mine[c] for c in docs.columns if c not in names], *[c.alias(n) for c, n in zip(added, names)])

@@ -2,8 +2,9 @@
 
 Categories are graded by how much of a labelled text's vocabulary is typical of toxic texts. The chain predicts them in order;
 each later model sees the earlier categories' probabilities beside the terms. While it learns, those are out-of-fold predictions,
-made by models that did not see the row, so that it meets in training the kind of probabilities it meets in use. Terms are words
-and beginnings of words, chosen by their counts over the labelled sample.
+made by models that did not see the row, neither to be fitted nor to choose terms, so that it meets in training the kind of
+probabilities it meets in use. Terms are words and beginnings of words: all whose counts over the labelled sample differ
+significantly between toxic and other texts.
 """
 
 from __future__ import annotations
@@ -13,17 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.llm.textarrays import binary_buffers, mix, sliced, span_hashes, word_spans
 from sourceloom.session import prepare, stored
 
-#: Labelled rows the chain learns from, those with the least hashes of their ids; terms it uses.
-SAMPLE, TERMS = 20_000, 256
-#: Least documents of a term; share of toxic documents from which a term counts as typical.
-LEAST, TYPICAL = 3, 0.8
-FOLDS, RIDGE, STEPS = 5, 0.3, 12
+#: Labelled ids the chain learns from, those with the least hashes; each counts with one row.
+SAMPLE = 20_000
+#: Least documents of a term; standard deviations from its expected toxic documents at which it is used; share of toxic documents
+#: from which it counts as typical.
+LEAST, SIGNIFICANT, TYPICAL = 3, 3.0, 0.8
+FOLDS, RIDGE, STEPS = 5, 0.3, 25
 #: Probability of the last category from which a text is rejected.
 REJECT = 0.3
 #: Categories in the order of the chain: typical terms that a toxic text has at least; the last one is the label itself.
@@ -44,135 +46,209 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(found), np.tile(of, len(found))
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled and toxic documents of each term, summed by batch."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, label, fold, term, uses) of the terms of labelled documents."""
     for batch in sliced(batches, "text", 2 << 20):
         term, of = terms_of(*binary_buffers(batch.column("text")))
-        order = np.lexsort((of, term))
+        order = np.lexsort((term, of))
         term, of = term[order], of[order]
         new = np.concatenate([[True], (term[1:] != term[:-1]) | (of[1:] != of[:-1])])[:len(term)]
-        toxic = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)[of[new]]
-        terms, at = np.unique(term[new], return_index=True)
-        n = np.diff(np.append(at, int(new.sum())))
-        t = np.add.reduceat(toxic, at) if len(at) else n
-        yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n), pa.array(t)], ["term", "n", "t"])
+        uses = np.diff(np.append(np.flatnonzero(new), len(term)))
+        at = pa.array(of[new])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("doc_id", "label", "fold")), pa.array(term[new].view(np.int64)), pa.array(uses.astype(np.int32))],
+                                         ["doc_id", "label", "fold", "term", "uses"])
 
 
-def _fit(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton's method, from near-by weights if there are any; the last column of ``x``
-    is 1 and bears no penalty."""
-    w = np.zeros(x.shape[1])
+@dataclass
+class Features:
+    """Rows of a sparse matrix of 0 and 1, and some dense columns, the last of which is 1."""
+
+    row: np.ndarray
+    column: np.ndarray
+    width: int
+    dense: np.ndarray
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column], len(self.dense)) + self.dense @ w[self.width:]
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.column, r[self.row], self.width), r @ self.dense])
+
+    def some(self, rows: np.ndarray, columns: np.ndarray) -> Features:
+        """The marked rows, with the marked columns only; columns keep their numbers."""
+        number = np.cumsum(rows) - 1
+        kept = rows[self.row] & columns[self.column]
+        return Features(number[self.row[kept]], self.column[kept], self.width, self.dense[rows])
+
+
+def _probability(score: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+
+
+def _fit(x: Features, y: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton's method, its steps by conjugate gradients, from near-by weights if there
+    are any; the constant bears no penalty."""
+    w = np.zeros(x.width + x.dense.shape[1])
     share = (y.sum() + 0.5) / (len(y) + 1)
     w[-1] = np.log(share / (1 - share)) if len(y) else -30
     if not len(y) or y.min() == y.max():
         return w
     if start is not None:
         w = start.copy()
-    x = x.astype(np.float32)
-    penalty = np.full(x.shape[1], RIDGE)
+    penalty = np.full(len(w), RIDGE)
     penalty[-1] = 1e-6
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (y - p) - penalty * w
-        curve = x.T @ (x * np.maximum(p * (1 - p), 1e-4).astype(np.float32)[:, None]) + np.diag(penalty)
-        step = np.linalg.solve(curve, gradient)
+        p = _probability(x.times(w))
+        curve = np.maximum(p * (1 - p), 1e-4)
+        gradient = x.back(y - p) - penalty * w
+        scale = 1 / (np.concatenate([np.bincount(x.column, curve[x.row], x.width), curve @ x.dense ** 2]) + penalty)
+        step, rest = np.zeros(len(w)), gradient
+        way = scale * rest
+        size = rest @ way
+        for _ in range(200):
+            if size <= 1e-8 * (gradient @ (scale * gradient)):
+                break
+            bent = x.back(curve * x.times(way)) + penalty * way
+            far = size / (way @ bent)
+            step, rest = step + far * way, rest - far * bent
+            ahead = scale * rest
+            size, last = rest @ ahead, size
+            way = ahead + size / last * way
         w += step
-        if np.abs(step).max() < 1e-3:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
 
-def _probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-
-
 @dataclass
 class Chain:
-    """Weights of the models in order; each has the terms, the earlier probabilities and a constant."""
+    """Terms by hash, ascending, and the weights of the models in order: of the terms, the earlier probabilities and a constant."""
 
+    terms: np.ndarray
     weights: list[np.ndarray]
 
-    def score(self, present: np.ndarray) -> np.ndarray:
-        """Probabilities of all categories for rows of 0 and 1 by term."""
+    def score(self, row: np.ndarray, column: np.ndarray, n: int) -> np.ndarray:
+        """Probabilities of all categories of ``n`` rows, given the rows and columns at which terms are present."""
         earlier: list[np.ndarray] = []
         for w in self.weights:
-            earlier.append(_probability(np.column_stack([present, *earlier, np.ones(len(present))]), w))
+            earlier.append(_probability(Features(row, column, len(self.terms), np.column_stack([*earlier, np.ones(n)])).times(w)))
         return np.column_stack(earlier)
 
-
-def learn(present: np.ndarray, targets: list[np.ndarray], folds: np.ndarray) -> Chain:
-    """A chain for ``targets`` in order; ``folds`` numbers the rows for the out-of-fold predictions."""
-    weights, earlier = [], []
-    for y in targets:
-        x = np.column_stack([present, *earlier, np.ones(len(present))])
-        weights.append(_fit(x, y))
-        whole = weights[-1]
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Probabilities of all categories of texts."""
+        term, of = terms_of(data, offsets)
+        values, n, width = term.view(np.int64), len(offsets) - 1, max(1, len(self.terms))
+        at = np.minimum(np.searchsorted(self.terms, values), max(0, len(self.terms) - 1))
+        hit = self.terms[at] == values if len(self.terms) else np.zeros(len(values), bool)
+        pairs = np.unique(of[hit] * width + at[hit])
+        return self.score(pairs // width, pairs % width, n)
+
+
+def chosen(n: np.ndarray, toxic: np.ndarray, rows: int, bad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which terms are used, and which are typical, by the documents and toxic documents that have them, of ``rows`` and ``bad``."""
+    share = max(bad, 0.5) / max(rows, 1)
+    surprise = np.abs(toxic - n * share) / np.sqrt(np.maximum(n * share * (1 - min(share, 0.999)), 1e-9))
+    used = (n >= LEAST) & (surprise >= SIGNIFICANT)
+    return used, used & ((toxic + 0.5) / (n + 1) >= TYPICAL)
+
+
+def learn(row: np.ndarray, column: np.ndarray, uses: np.ndarray, terms: np.ndarray, y: np.ndarray, folds: np.ndarray) -> Chain:
+    """A chain for the labels ``y`` of rows that have the terms ``column`` so many times; ``folds`` numbers the rows."""
+    everyone = np.ones(len(y), bool)
+
+    def prepared(rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The columns to use and the targets of all categories, as the given rows alone show them."""
+        mine = rows[row]
+        n, toxic = np.bincount(column[mine], minlength=len(terms)), np.bincount(column[mine], y[row[mine]], len(terms))
+        used, typical = chosen(n, toxic, int(rows.sum()), int(y[rows].sum()))
+        found = np.bincount(row, uses * typical[column], len(y))
+        return used, [y * (found >= least) for _, least in CATEGORIES]
+
+    used, targets = prepared(everyone)
+    others = [(folds != k, *prepared(folds != k)) for k in range(FOLDS)]
+    weights: list[np.ndarray] = []
+    earlier: list[np.ndarray] = []
+    for c in range(len(CATEGORIES)):
+        x = Features(row, column, len(terms), np.column_stack([*earlier, np.ones(len(y))]))
+        weights.append(_fit(x.some(everyone, used), targets[c]))
         out = np.zeros(len(y))
-        for k in range(FOLDS):
-            mine = folds == k
-            if mine.any():
-                out[mine] = _probability(x[mine], _fit(x[~mine], y[~mine], whole))
+        for rows, columns, goals in others:
+            if not rows.all():
+                near = weights[-1] * np.append(columns, np.ones(c + 1, bool))
+                out[~rows] = _probability(x.some(~rows, columns).times(_fit(x.some(rows, columns), goals[c][rows], near)))
         earlier.append(out)
-    return Chain(weights)
-
-
-def _present(packed: list[bytes], width: int) -> np.ndarray:
-    out = np.zeros((len(packed), width))
-    for i, found in enumerate(packed):
-        out[i, np.frombuffer(found, np.uint16)] = 1
-    return out
+    return Chain(terms[used], [np.concatenate([w[:len(terms)][used], w[len(terms):]]) for w in weights])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", also: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, the long columns ``also`` of docs, p_abusive, p_repeated, p_toxic, rejected) of every row of ``docs`` (doc_id, text);
-    ``labels`` has doc_id and ``label`` 0 or 1.
+def toxicity_chain(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Chain:
+    """The chain that the labelled rows of ``docs`` (doc_id, text) teach; ``labels`` has doc_id and ``label`` 0 or 1.
 
-    Whole texts are read; null and empty ones have no terms and the probability of such texts. Null labels and ids are not
-    learned from, at most SAMPLE other rows are. Without labels of both kinds all probabilities are the label's smoothed share, or
-    0 without any, in which case nothing is rejected. Rows keep their number whatever ids repeat or are null. An
-    empty table gives no rows.
+    Null labels and ids are not learned from; an id with several labels has the greatest. Of an id's rows that with the least hash
+    counts. The driver sees the significant terms of at most SAMPLE texts.
     """
     prepare(docs.sparkSession)
-    carried = ("doc_id", *also)
-    texts = docs.select(*carried, F.col("text").cast("binary").alias("text"))
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
-    known = F.broadcast(stored(known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "labelled"))
-    counted = texts.join(known, "doc_id").select("label", "text").mapInArrow(_term_counts, "term long, n long, t long")
-    counted = counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") >= LEAST)
-    total, bad = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    share = max(bad, 0.5) / max(total, 1)
-    surprise = F.abs(F.col("t") - F.col("n") * share) / F.sqrt(F.col("n"))
-    chosen = counted.orderBy(surprise.desc(), "term").limit(TERMS).toPandas().sort_values("term", ignore_index=True)
-    terms = chosen["term"].to_numpy(np.int64)
-    typical = ((chosen["t"] + 0.5) / (chosen["n"] + 1) >= TYPICAL).to_numpy(bool)
-    width = len(terms)
-
-    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 2 << 20):
-            term, of = terms_of(*binary_buffers(batch.column("text")))
-            values = term.view(np.int64)
-            at = np.minimum(np.searchsorted(terms, values), max(0, width - 1))
-            hit = terms[at] == values if width else np.zeros(len(values), bool)
-            n = batch.num_rows
-            pairs = np.unique(of[hit] * max(1, width) + at[hit])
-            edges = np.searchsorted(pairs, np.arange(n + 1) * max(1, width))
-            found = (pairs % max(1, width)).astype(np.uint16)
-            uses = np.bincount(of[hit][typical[at[hit]]], minlength=n) if width else np.zeros(n, np.int64)
-            yield pa.RecordBatch.from_arrays([*map(batch.column, carried), pa.array([found[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()), pa.array(uses, pa.int64())],
-                                             [*carried, "found", "uses"])
-
-    kinds = [f"{c} long" for c in carried]
-    rows = stored(texts.mapInArrow(matched, ", ".join([*kinds, "found binary", "uses long"])), "terms")
-    sample = rows.join(known, "doc_id").select("doc_id", "label", "found", "uses").distinct().toPandas().sort_values(["doc_id", "found"], ignore_index=True)
-    y, uses = sample["label"].to_numpy(int), sample["uses"].to_numpy(int)
-    folds = (mix(sample["doc_id"].to_numpy(np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(int)
-    chain = learn(_present(list(sample["found"]), width), [y * (uses >= least) for _, least in CATEGORIES], folds)
+    known = stored(known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "labelled")
+    body: Column = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "label")
+    met = met.agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("row"))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int")
+    rows = stored(met.select("doc_id", "label", fold.alias("fold"), F.col("row.text").alias("text")), "learned-from")
+    sizes = rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("t")).toPandas()
+    counted = stored(rows.mapInArrow(_counted, "doc_id long, label int, fold int, term long, uses int"), "uses")
+    by_fold = counted.groupBy("term", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("t"))
+    all_n, all_bad = int(sizes["n"].sum()), int(sizes["t"].sum())
+
+    def significant(n: Column, t: Column, rows_: Column, bad: Column) -> Column:
+        share = F.greatest(bad, F.lit(0.5)) / F.greatest(rows_, F.lit(1))
+        surprise = F.abs(t - n * share) / F.sqrt(F.greatest(n * share * (1 - F.least(share, F.lit(0.999))), F.lit(1e-9)))
+        return (n >= LEAST) & (surprise >= SIGNIFICANT - 1e-6)
+
+    # terms that count with all rows or without one fold; which of them each model takes is decided with the sample at hand
+    folds = {int(r.fold): (int(r.n), int(r.t)) for r in sizes.itertuples()}
+    totals = by_fold.groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "t")))).alias("folds"))
+    test = significant(F.col("n"), F.col("t"), F.lit(all_n), F.lit(all_bad))
+    for k, (n, t) in folds.items():
+        mine = F.col("folds")[k]
+        test = test | significant(F.col("n") - F.coalesce(mine["n"], F.lit(0)), F.col("t") - F.coalesce(mine["t"], F.lit(0)), F.lit(all_n - n), F.lit(all_bad - t))
+    kept = totals.where(test).select("term")
+    sample = counted.join(kept, "term").select("doc_id", "term", "uses").toPandas()
+    people = rows.select("doc_id", "label", "fold").toPandas().sort_values("doc_id", ignore_index=True)
+    terms, column = np.unique(sample["term"].to_numpy(np.int64), return_inverse=True)
+    row = np.searchsorted(people["doc_id"].to_numpy(np.int64), sample["doc_id"].to_numpy(np.int64))
+    order = np.lexsort((column, row))
+    return learn(row[order], column[order], sample["uses"].to_numpy(np.int64)[order], terms, people["label"].to_numpy(np.int64), people["fold"].to_numpy(np.int64))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
+    """(doc_id, p_abusive, p_repeated, p_toxic, rejected) of every row of ``docs`` (doc_id, text), by ``toxicity_chain`` over its labelled rows.
+
+    Whole texts are read; null and empty ones have no terms and the probability of such texts. Without labels of both kinds all
+    probabilities are the label's smoothed share, or 0 without any, in which case nothing is rejected. Rows keep their number
+    whatever ids repeat or are null; other columns are not read. An empty table gives no rows.
+    """
+    chain = toxicity_chain(docs, labels, label)
     names = [f"p_{name}" for name, _ in CATEGORIES]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "found", 64 << 10):
-            found = chain.score(_present(batch.column("found").to_pylist(), width))
-            yield pa.RecordBatch.from_arrays([*map(batch.column, carried), *[pa.array(c) for c in found.T]], [*carried, *names])
+        for batch in sliced(batches, "text", 2 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, chain.of(*binary_buffers(batch.column("text"))).T)], ["doc_id", *names])
 
-    out = rows.mapInArrow(scored, ", ".join([*kinds, *[f"{n} double" for n in names]]))
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    out = texts.mapInArrow(scored, ", ".join(["doc_id long", *[f"{n} double" for n in names]]))
     return out.withColumn("rejected", F.col(names[-1]) > REJECT)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
+    """The rows of ``docs`` that ``toxicity`` does not reject, with all their columns, whatever their names; each text is judged where
+    it is read and nothing is shuffled."""
+    chain = toxicity_chain(docs, labels, label)
+    names, at = docs.columns, docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at).cast(pa.binary())], ["row", "text"])
+            bad = [chain.of(*binary_buffers(piece.column("text")))[:, -1] > REJECT for piece in sliced(iter([part]), "text", 2 << 20)]
+            yield batch.filter(pa.array(~np.concatenate([*bad, np.zeros(0, bool)])))
+
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(kept, ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate(docs.dtypes))).toDF(*names)
