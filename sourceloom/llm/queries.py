@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -17,7 +16,8 @@ from sourceloom.llm.mixing import SYMBOLS, mixed
 from sourceloom.llm.periodic_runs import periodic_runs
 from sourceloom.llm.phrases import collocations
 from sourceloom.llm.quality import quality_scores
-from sourceloom.llm.token_counts import Edit, edited_counts
+from sourceloom.llm.redactions import redactions
+from sourceloom.llm.token_counts import edited_counts
 from sourceloom.llm.token_files import token_directory, write_tokens
 from sourceloom.llm.topk import top_k
 from sourceloom.llm.toxicity import toxicity
@@ -27,8 +27,6 @@ from sourceloom.llm.url_templates import APART, BRANCHES, ID_SEGMENT, LEVELS, PR
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Tokenizer and end id of the token files.
 WORD_TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 2
-#: What the edits of the counting query change: personal data, numbers and keys are masked, runs of one sign cut to one.
-REDACTED = re.compile(r"(?P<mail>[\w.+-]+@[\w-]+\.[\w.]+)|(?P<key>\b[0-9a-f]{32,}\b)|(?P<number>\+?\d[\d .()-]{6,}\d)|(?P<sign>[^\w\s])(?P=sign)+")
 #: The rules of the URL query.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -61,11 +59,6 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(_table(spark, folder, "documents"), BYTE_RANKS)
 
 
-def redactions(text: str) -> list[Edit]:
-    """Edits of a text that mask mail addresses, keys and long numbers and shorten runs of one sign."""
-    return [(*m.span(), m["sign"] or f"<{m.lastgroup}>") for m in REDACTED.finditer(text)]
-
-
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return edited_counts(_table(spark, folder, "documents"), BYTE_RANKS, redactions)
 

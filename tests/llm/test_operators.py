@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sourceloom.llm import byte_bpe, exact_dedup, jaccard, mixing, quality, queries, token_counts, token_files, topk, toxicity, url_templates
+from sourceloom.llm import byte_bpe, exact_dedup, jaccard, mixing, quality, queries, redactions, token_counts, token_files, topk, toxicity, url_templates
 from sourceloom.llm.textarrays import binary_buffers
 
 SF = "/root/testdata/sf0.001"
@@ -176,9 +176,9 @@ def test_edited_counts(spark, odd, monkeypatch):
             text = text[:a] + new[:5] + text[b:]
             assert tree.text() == text and tree.total() == len(enc.encode_ordinary(text))
     rows = [*odd[1], (20, "mail me.1@ex.com now!!!! " * 50), (21, "5555 5555 5555 5555")]
-    for r in token_counts.edited_counts(frame(spark, rows), queries.BYTE_RANKS, queries.redactions).where("doc_id >= 20").collect():
+    for r in token_counts.edited_counts(frame(spark, rows), queries.BYTE_RANKS, redactions.redactions).where("doc_id >= 20").collect():
         text = dict((x[0], x[1]) for x in rows)[r.doc_id]
-        for a, b, new in reversed(queries.redactions(text)):
+        for a, b, new in reversed(redactions.redactions(text)):
             text = text[:a] + new + text[b:]
         assert r.n_edits and r.n_tokens_edited == len(enc.encode_ordinary(text))
 
@@ -270,7 +270,7 @@ def test_empty_tables(spark):
     none = frame(spark, [])
     labels = spark.createDataFrame([], LABELS)
     for out in (jaccard.jaccard_groups(none), exact_dedup.exact_duplicates(none), toxicity.toxicity(none, labels), quality.quality_scores(none, labels),
-                byte_bpe.token_digests(none, queries.BYTE_RANKS), token_counts.edited_counts(none, queries.BYTE_RANKS, queries.redactions), mixing.mixed(none),
+                byte_bpe.token_digests(none, queries.BYTE_RANKS), token_counts.edited_counts(none, queries.BYTE_RANKS, redactions.redactions), mixing.mixed(none),
                 token_files.token_directory(*token_files.write_tokens(none, queries.WORD_TOKENIZER, 2)),
                 url_templates.url_verdicts(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES),
                 topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"))):
