@@ -538,6 +538,33 @@ def cycle_edges(spark, folder):
     return found.withColumn("cycle_path", F.array_join("cycle_path", ">"))
 
 
+@query("cycles_witness", with_inputs(_SCC + """,
+inner_pairs as (select a.scc, p.src, p.dst from pairs p join members a on a.node = p.src join members b on b.node = p.dst and b.scc = a.scc),
+ahead(scc, node, depth) using key (scc, node) as (select scc, scc, 0 from members group by scc union
+  select w.scc, p.dst, min(w.depth + 1) from ahead w join inner_pairs p on p.scc = w.scc and p.src = w.node
+  where not exists (from recurring.ahead k where k.scc = w.scc and k.node = p.dst) group by w.scc, p.dst),
+behind(scc, node, depth) using key (scc, node) as (select scc, scc, 0 from members group by scc union
+  select w.scc, p.src, min(w.depth + 1) from behind w join inner_pairs p on p.scc = w.scc and p.dst = w.node
+  where not exists (from recurring.behind k where k.scc = w.scc and k.node = p.src) group by w.scc, p.src),
+parent as (select p.scc, p.dst as node, min(p.src) as near from inner_pairs p join ahead a on a.scc = p.scc and a.node = p.src
+  join ahead b on b.scc = p.scc and b.node = p.dst and b.depth = a.depth + 1 group by 1, 2),
+next_one as (select p.scc, p.src as node, min(p.dst) as near from inner_pairs p join behind a on a.scc = p.scc and a.node = p.dst
+  join behind b on b.scc = p.scc and b.node = p.src and b.depth = a.depth + 1 group by 1, 2),
+down(scc, node, path) as (select distinct scc, scc, [scc] from members union all
+  select t.scc, t.node, list_append(d.path, t.node) from down d join parent t on t.scc = d.scc and t.near = d.node),
+up(scc, node, path) as (select distinct scc, scc, [scc] from members union all
+  select t.scc, t.node, list_prepend(t.node, u.path) from up u join next_one t on t.scc = u.scc and t.near = u.node),
+ways as (select u.path as up, d.path as down, list_filter(u.path, lambda x: list_contains(d.path, x))[1] as turn
+  from inner_pairs p join up u on u.scc = p.scc and u.node = p.dst join down d on d.scc = p.scc and d.node = p.src),
+rings as (select up[1:list_position(up, turn)] || down[list_position(down, turn) + 1:len(down)] as ring from ways),
+turned as (select ring[list_position(ring, list_min(ring)):len(ring)] || ring[1:list_position(ring, list_min(ring)) - 1] as path from rings)
+select array_to_string(min(path), '>') as cycle_path, 'file' as cycle_type, len(min(path)) as length,
+  case when len(min(path)) <= 3 then 'high' else 'medium' end as severity, count(*) as links from turned group by list_sort(path)""", "edges", recursive=True))
+def cycles_witness(spark, folder):
+    graph = estate(spark, folder)
+    return K.cycles_witness(graph.edges, graph.nodes).withColumn("cycle_path", F.array_join("cycle_path", ">"))
+
+
 @query("dependency_depth", with_inputs("""
 with pairs as (select distinct src, dst from edges where relationship_type in ('imports', 'uses', 'calls', 'inherits')),
 walk(root, node, depth) using key (root, node) as (select distinct src, src, 0 from pairs union

@@ -90,6 +90,12 @@ def test_random_graph(spark, seed):
                 rings.add(frozenset(ring))
     assert {frozenset(r["cycle_path"]) for r in K.cycles(edges, nodes).collect()} == rings
 
+    every = [tuple(r["cycle_path"]) for r in K.cycles_witness(edges, nodes).collect()]
+    on_cycles = {(a, b) for a, b in pairs if a in dist[b]}
+    assert all(len(set(c)) == len(c) and c[0] == min(c) and set(zip(c, c[1:] + c[:1])) <= set(pairs) for c in every)
+    assert sum(r["links"] for r in K.cycles_witness(edges, nodes).collect()) == len(on_cycles)
+    assert len({frozenset(c) for c in every}) == len(every)
+
     assert K.dependency_depth(nodes, edges).first()["dependency_depth"] == max(max(d.values()) for d in dist.values())
     assert K.dependency_depth(nodes, edges, batches=3).first()["dependency_depth"] == max(max(d.values()) for d in dist.values())
 
@@ -103,6 +109,15 @@ def test_random_graph(spark, seed):
         assert not options or path == min(options)
 
 
+def test_witness_cycles_of_any_length(spark):
+    """A ring of forty with a chord, a pair, and a path: every link of the rings has a witness, the path has none."""
+    ring = [f"r{i:02}" for i in range(40)]
+    pairs = list(zip(ring, ring[1:] + ring[:1])) + [("r30", "r05"), ("a", "b"), ("b", "a"), ("b", "r00"), ("x", "y"), ("x", "x")]
+    nodes, edges = frames(spark, [*ring, *"abxy"], pairs)
+    found = {tuple(r["cycle_path"]): (r["length"], r["links"], r["severity"]) for r in K.cycles_witness(edges, nodes).collect()}
+    assert found == {("a", "b"): (2, 2, "high"), tuple(ring): (40, 40, "medium"), tuple(ring[5:31]): (26, 1, "medium")}
+
+
 def test_chain_keeps_cycles_and_repeats(spark):
     _, edges = frames(spark, "1234", [("1", "2"), ("2", "3"), ("3", "1"), ("1", "3")])
     rows = {(r["role"], r["node"]) for r in T.call_chain(edges, seeds(spark, "1"), 4).collect()}
