@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.llm.textarrays import binary_buffers, mix, sliced, span_hashes, word_spans
-from sourceloom.session import prepare, stored
+from sourceloom.session import discard, prepare, stored
 
 #: Labelled ids the chain learns from, those with the least hashes; each counts with one row.
 SAMPLE = 20_000
@@ -30,6 +30,8 @@ FOLDS, RIDGE, STEPS = 5, 0.3, 25
 REJECT = 0.3
 #: Categories in the order of the chain: typical terms that a toxic text has at least; the last one is the label itself.
 CATEGORIES = (("abusive", 1), ("repeated", 3), ("toxic", 0))
+#: Columns of documents and toxic documents by fold.
+COUNTS = [f"{kind}{k}" for kind in "nt" for k in range(FOLDS)]
 #: Bytes of the beginnings that are terms.
 BEGINNINGS = (4, 6)
 _BETWEEN = np.ones(256, bool)
@@ -46,17 +48,36 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(found), np.tile(of, len(found))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, label, fold, term, uses) of the terms of labelled documents."""
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, label, terms, uses): the distinct terms of labelled documents, packed, and how often each is used."""
     for batch in sliced(batches, "text", 2 << 20):
         term, of = terms_of(*binary_buffers(batch.column("text")))
         order = np.lexsort((term, of))
         term, of = term[order], of[order]
-        new = np.concatenate([[True], (term[1:] != term[:-1]) | (of[1:] != of[:-1])])[:len(term)]
-        uses = np.diff(np.append(np.flatnonzero(new), len(term)))
-        at = pa.array(of[new])
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("doc_id", "label", "fold")), pa.array(term[new].view(np.int64)), pa.array(uses.astype(np.int32))],
-                                         ["doc_id", "label", "fold", "term", "uses"])
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (of[1:] != of[:-1])])[:len(term)])
+        uses, term = np.diff(np.append(new, len(term))).astype(np.int32), term[new]
+        edges = np.searchsorted(of[new], np.arange(batch.num_rows + 1)).tolist()
+        packed = [(term[a:b].tobytes(), uses[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *[pa.array(c, pa.binary()) for c in list(zip(*packed)) or [(), ()]]], ["doc_id", "label", "terms", "uses"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row, term and uses of each entry of a batch of packed features."""
+    terms, uses = batch.column("terms").to_pylist(), batch.column("uses").to_pylist()
+    row = np.repeat(np.arange(len(terms)), [len(t) // 8 for t in terms])
+    return row, np.frombuffer(b"".join(terms), np.int64), np.frombuffer(b"".join(uses), np.int32)
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents and toxic documents of each term, in all and in each fold, summed by batch."""
+    for batch in batches:
+        row, term, _ = _unpacked(batch)
+        label, fold = batch.column("label").to_numpy()[row].astype(np.int64), batch.column("fold").to_numpy()[row]
+        terms, at = np.unique(term, return_inverse=True)
+        cell = at * FOLDS + fold
+        n, t = np.bincount(cell, minlength=len(terms) * FOLDS), np.bincount(cell, label, len(terms) * FOLDS).astype(np.int64)
+        columns = [*n.reshape(-1, FOLDS).T, *t.reshape(-1, FOLDS).T]
+        yield pa.RecordBatch.from_arrays([pa.array(terms), *map(pa.array, columns)], ["term", *COUNTS])
 
 
 @dataclass
@@ -106,7 +127,7 @@ def _fit(x: Features, y: np.ndarray, start: np.ndarray | None = None) -> np.ndar
         way = scale * rest
         size = rest @ way
         for _ in range(200):
-            if size <= 1e-8 * (gradient @ (scale * gradient)):
+            if size <= 1e-4 * (gradient @ (scale * gradient)):
                 break
             bent = x.back(curve * x.times(way)) + penalty * way
             far = size / (way @ bent)
@@ -115,7 +136,7 @@ def _fit(x: Features, y: np.ndarray, start: np.ndarray | None = None) -> np.ndar
             size, last = rest @ ahead, size
             way = ahead + size / last * way
         w += step
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 1e-3:
             break
     return w
 
@@ -183,41 +204,48 @@ def learn(row: np.ndarray, column: np.ndarray, uses: np.ndarray, terms: np.ndarr
 def toxicity_chain(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Chain:
     """The chain that the labelled rows of ``docs`` (doc_id, text) teach; ``labels`` has doc_id and ``label`` 0 or 1.
 
-    Null labels and ids are not learned from; an id with several labels has the greatest. Of an id's rows that with the least hash
-    counts. The driver sees the significant terms of at most SAMPLE texts.
+    Null labels and ids are not learned from; an id with several labels has the greatest. Of an id's rows that with the least
+    hash of its terms counts. The driver sees the significant terms of at most SAMPLE rows.
     """
     prepare(docs.sparkSession)
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     known = stored(known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "labelled")
-    body: Column = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "label")
-    met = met.agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("row"))
-    fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int")
-    rows = stored(met.select("doc_id", "label", fold.alias("fold"), F.col("row.text").alias("text")), "learned-from")
-    sizes = rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("t")).toPandas()
-    counted = stored(rows.mapInArrow(_counted, "doc_id long, label int, fold int, term long, uses int"), "uses")
-    by_fold = counted.groupBy("term", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("t"))
-    all_n, all_bad = int(sizes["n"].sum()), int(sizes["t"].sum())
-
-    def significant(n: Column, t: Column, rows_: Column, bad: Column) -> Column:
-        share = F.greatest(bad, F.lit(0.5)) / F.greatest(rows_, F.lit(1))
-        surprise = F.abs(t - n * share) / F.sqrt(F.greatest(n * share * (1 - F.least(share, F.lit(0.999))), F.lit(1e-9)))
-        return (n >= LEAST) & (surprise >= SIGNIFICANT - 1e-6)
-
-    # terms that count with all rows or without one fold; which of them each model takes is decided with the sample at hand
-    folds = {int(r.fold): (int(r.n), int(r.t)) for r in sizes.itertuples()}
-    totals = by_fold.groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "t")))).alias("folds"))
-    test = significant(F.col("n"), F.col("t"), F.lit(all_n), F.lit(all_bad))
-    for k, (n, t) in folds.items():
-        mine = F.col("folds")[k]
-        test = test | significant(F.col("n") - F.coalesce(mine["n"], F.lit(0)), F.col("t") - F.coalesce(mine["t"], F.lit(0)), F.lit(all_n - n), F.lit(all_bad - t))
-    kept = totals.where(test).select("term")
-    sample = counted.join(kept, "term").select("doc_id", "term", "uses").toPandas()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(known), "doc_id")
+    found = texts.mapInArrow(_featured, "doc_id long, label int, terms binary, uses binary")
+    row = F.struct(F.xxhash64("terms", "uses").alias("hash"), "terms", "uses")
+    found = found.groupBy("doc_id", "label").agg(F.min(row).alias("row")).select(
+        "doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS)).cast("int").alias("fold"), "row.terms", "row.uses")
+    rows = stored(found, "features")
     people = rows.select("doc_id", "label", "fold").toPandas().sort_values("doc_id", ignore_index=True)
-    terms, column = np.unique(sample["term"].to_numpy(np.int64), return_inverse=True)
-    row = np.searchsorted(people["doc_id"].to_numpy(np.int64), sample["doc_id"].to_numpy(np.int64))
-    order = np.lexsort((column, row))
-    return learn(row[order], column[order], sample["uses"].to_numpy(np.int64)[order], terms, people["label"].to_numpy(np.int64), people["fold"].to_numpy(np.int64))
+    sizes = [(int((people["fold"] == k).sum()), int(people["label"][people["fold"] == k].sum())) for k in range(FOLDS)]
+    counted = rows.mapInArrow(_term_counts, ", ".join(["term long", *[f"{c} long" for c in COUNTS]])).groupBy("term").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+    def significant(folds: list[int]) -> Column:
+        """Whether a term is used by what the given folds show."""
+        n, t = (sum((F.col(f"{kind}{k}") for k in folds), F.lit(0)) for kind in "nt")
+        share = max(sum(sizes[k][1] for k in folds), 0.5) / max(sum(sizes[k][0] for k in folds), 1)
+        return (n >= LEAST) & (F.abs(t - n * share) / F.sqrt(F.greatest(n * share * (1 - min(share, 0.999)), F.lit(1e-9))) >= SIGNIFICANT - 1e-6)
+
+    # terms that some model may take; which one takes which is decided with the sample at hand
+    test = significant(list(range(FOLDS)))
+    for k in range(FOLDS):
+        test = test | significant([f for f in range(FOLDS) if f != k])
+    terms = np.sort(counted.where(test).select("term").toPandas()["term"].to_numpy(np.int64))
+
+    def chosen_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, term, uses = _unpacked(batch)
+            at = np.minimum(np.searchsorted(terms, term), max(0, len(terms) - 1))
+            kept = np.flatnonzero(terms[at] == term) if len(terms) else np.zeros(0, np.int64)
+            edges = np.searchsorted(row[kept], np.arange(batch.num_rows + 1)).tolist()
+            packed = [(at[kept[a:b]].astype(np.int32).tobytes(), uses[kept[a:b]].tobytes()) for a, b in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.binary()) for c in list(zip(*packed)) or [(), ()]]], ["doc_id", "terms", "uses"])
+
+    sample = rows.mapInArrow(chosen_terms, "doc_id long, terms binary, uses binary").toPandas().sort_values("doc_id", ignore_index=True)
+    discard(known, rows)
+    row = np.repeat(np.arange(len(sample)), [len(t) // 4 for t in sample["terms"]]).astype(np.int64)
+    column, uses = (np.frombuffer(b"".join(sample[c]), np.int32).astype(np.int64) for c in ("terms", "uses"))
+    return learn(row, column, uses, terms, people["label"].to_numpy(np.int64), people["fold"].to_numpy(np.int64))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
