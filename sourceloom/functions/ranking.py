@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sourceloom.session import stored
+
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
                   rank_column: str = "rank") -> DataFrame:
@@ -49,6 +51,24 @@ def running_totals(df: DataFrame, keys: Sequence[str], bucket: Column, order: Se
     return joined.drop("_bucket", *[f"_{p}_{n}" for n in measures for p in ("m", "o")])
 
 
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
+    """``df`` with the row number (from 1) of each row in its group by ``order``, however many rows a group has.
+
+    Rows are sorted over range partitions, written, counted by group and partition, and numbered from there; no group
+    has to fit a task. Rows that tie in ``order`` are numbered in any order.
+    """
+    at, part = "_ranked_at", "_ranked_part"
+    sorted_ = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    sorted_ = stored(sorted_.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()), "ranked")
+    counts = sorted_.groupBy(*[F.col(k).alias(f"_ranked_{i}") for i, k in enumerate(keys)], F.col(part).alias("_ranked_p")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first"))
+    before = W.partitionBy(*[f"_ranked_{i}" for i in range(len(keys))]).orderBy("_ranked_p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    same = [F.col(k).eqNullSafe(F.col(f"_ranked_{i}")) for i, k in enumerate(keys)]
+    met = sorted_.join(offsets, [*same, F.col(part) == F.col("_ranked_p")] if keys else F.col(part) == F.col("_ranked_p"))
+    return met.select(*df.columns, (F.col(at) - F.col("_first") + F.col("_before") + 1).alias(name))
+
+
 def share_below(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Exact share of the group's rows with a strictly smaller ``value``, as column ``share_below``.
 

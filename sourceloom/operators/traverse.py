@@ -9,14 +9,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.functions import fixed_values as V
 from sourceloom.functions import scalars as S
-from sourceloom.functions.ranking import top_per_group
+from sourceloom.functions.ranking import ranked, top_per_group
 from sourceloom.session import cut_counted, small_side, stored
 
+#: Links of one root that a task may walk depth first.
+TASK_EDGES = 1_000_000
+
 
 def links(edges: DataFrame, direction: str = "outgoing", rel_types=None) -> DataFrame:
     """(src, dst) pairs to walk: filtered by edge type, turned round or doubled by direction."""
@@ -116,6 +121,58 @@ def dfs(edges: DataFrame, seeds: DataFrame, depth: int = 3, direction: str = "ou
     raise RuntimeError("depth-first order did not settle within max_rounds")
 
 
+def _discovered(group: pd.DataFrame) -> pd.DataFrame:
+    """Depth-first discovery of one root's links: every node with its parent and its place in the order."""
+    root = group["root"].iloc[0]
+    names, codes = np.unique(np.concatenate([[root], group["src"].to_numpy(object), group["dst"].to_numpy(object)]).astype(str), return_inverse=True)
+    src, dst = codes[1:len(group) + 1], codes[len(group) + 1:]
+    by_source = np.lexsort((dst, src))
+    targets = dst[by_source].tolist()
+    begin = np.searchsorted(src[by_source], np.arange(len(names) + 1)).tolist()
+    ahead, parent, order, stack = begin[:-1], {int(codes[0]): -1}, [int(codes[0])], [int(codes[0])]
+    while stack:
+        node = stack[-1]
+        at, end = ahead[node], begin[node + 1]
+        while at < end and targets[at] in parent:
+            at += 1
+        ahead[node] = at + 1
+        if at < end:
+            parent[targets[at]] = node
+            order.append(targets[at])
+            stack.append(targets[at])
+        else:
+            stack.pop()
+    return pd.DataFrame({"root": root, "node": names[order], "parent": [None if parent[n] < 0 else names[parent[n]] for n in order],
+                         "position": np.arange(1, len(order) + 1)})
+
+
+def dfs_order(edges: DataFrame, seeds: DataFrame, depth: int = 3, direction: str = "outgoing", rel_types=None,
+              task_edges: int = TASK_EDGES) -> DataFrame:
+    """(root, node, parent, position): depth-first discovery order of the nodes within ``depth`` steps of each root, from 1.
+
+    Children are taken in id order. Which nodes and links belong to a root is found level by level over all roots. Discovery
+    itself is a sequence: a root whose links are counted to fit a task is walked there with an explicit stack, as many roots at
+    once as there are tasks; a larger one goes through ``dfs``, whose rows never meet in one task.
+    """
+    pairs = links(edges, direction, rel_types)
+    members = reach(pairs, seeds, S.clamp_depth(depth), include_root=True).select("root", "node")
+    inside = (pairs.join(members.withColumnRenamed("node", "src"), "src")
+              .join(members.withColumnRenamed("node", "dst"), ["root", "dst"], "left_semi").where("src <> dst")
+              .select("root", "src", "dst").distinct())
+    inside = stored(inside, "dfs-links")
+    counts = stored(seeds.select("root").distinct().join(inside.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root", "left"), "dfs-sizes")
+    none = F.lit(None).cast("string")
+    found = counts.where("n is null").select("root", F.col("root").alias("node"), none.alias("parent"), F.lit(1).cast("long").alias("position"))
+    fitting = inside.join(counts.where(F.col("n") <= task_edges).select("root"), "root", "left_semi")
+    found = found.unionByName(fitting.groupBy("root").applyInPandas(_discovered, "root string, node string, parent string, position long"))
+    large = counts.where(F.col("n") > task_edges).select("root")
+    if not large.isEmpty():
+        paths = dfs(edges, large, depth, direction, rel_types)
+        rows = ranked(paths, ["root"], ["dfs_path"])
+        found = found.unionByName(rows.select("root", "node", F.expr("if(size(dfs_path) > 1, dfs_path[size(dfs_path) - 2], null)").alias("parent"), "position"))
+    return found
+
+
 def traversal_edges(edges: DataFrame, members: DataFrame, root_only: bool = False) -> DataFrame:
     """Edges with both ends in a root's member set (root, node); ``root_only`` keeps those touching the root."""
     inside = (edges.join(members.select("root", F.col("node").alias("src")), "src")

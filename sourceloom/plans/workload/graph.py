@@ -260,12 +260,18 @@ def bfs_both(spark, folder):
     return T.bfs(graph.nodes, graph.edges, roots(spark, folder), 2, "both")
 
 
-# Depth-first order of the estate's imports, one dense knot of files, takes a round for each step of a path through nearly all of them.
+@query("dfs")
+def dfs(spark, folder):
+    """SQL would list every simple path through the imports, a dense knot; checked by brute force in tests/test_graphs.py."""
+    return T.dfs_order(estate(spark, folder).edges, roots(spark, folder), 4, "outgoing", ["CALLS", "IMPORTS", "USES", "INHERITS"])
+
+
+# Whole depth-first paths grow with the square of a dense graph, so they are listed along symbols only.
 _SYMBOL_TYPES = ["CALLS", "USES", "INHERITS"]
 _SYMBOL_SQL = "'calls', 'uses', 'inherits'"
 
 
-@query("dfs", _reach_check(4, """
+@query("dfs_symbol_paths", _reach_check(4, """
 , inner_pairs as (select distinct a.root, p.src, p.dst from found a join pairs p on p.src = a.node
     join found b on b.root = a.root and b.node = p.dst),
 paths(root, node, path) as (
@@ -273,7 +279,7 @@ paths(root, node, path) as (
   select w.root, p.dst, list_append(w.path, p.dst) from paths w join inner_pairs p on p.root = w.root and p.src = w.node
   where not list_contains(w.path, p.dst))
 select root, node, array_to_string(min(path), '>') as dfs_path from paths group by root, node""", types=_SYMBOL_SQL))
-def dfs(spark, folder):
+def dfs_symbol_paths(spark, folder):
     found = T.dfs(estate(spark, folder).edges, roots(spark, folder), 4, "outgoing", _SYMBOL_TYPES)
     return found.select("root", "node", F.array_join("dfs_path", ">").alias("dfs_path"))
 

@@ -78,6 +78,14 @@ def test_random_graph(spark, seed):
 
     first = T.dfs(edges, seeds(spark, ids[0]), depth=8).orderBy("dfs_path").collect()
     assert [r["node"] for r in first] == ordered_dfs(pairs, ids[0])
+    for most in (1000, 12, 0):  # walked in tasks, some of them, or none
+        order = {}
+        for r in T.dfs_order(edges, every, depth=8, task_edges=most).orderBy("position").collect():
+            order.setdefault(r["root"], []).append((r["node"], r["parent"], r["position"]))
+        for start in ids:
+            assert [n for n, _, _ in order[start]] == ordered_dfs(pairs, start) and [p for _, _, p in order[start]] == list(range(1, len(order[start]) + 1))
+            place = {n: p for n, _, p in order[start]}
+            assert all((n == start) if parent is None else ((parent, n) in pairs and place[parent] < place[n]) for n, parent, _ in order[start])
 
     scc = {r["node"]: r["scc"] for r in K.strong_components(edges.select("src", "dst")).collect()}
     want = {a: min(b for b in ids if b in dist[a] and a in dist[b]) for a in ids if any(b != a and b in dist[a] and a in dist[b] for b in ids)}
@@ -118,6 +126,28 @@ def test_witness_cycles_of_any_length(spark):
     assert found == {("a", "b"): (2, 2, "high"), tuple(ring): (40, 40, "medium"), tuple(ring[5:31]): (26, 1, "medium")}
 
 
+def test_dense_depth_first_order(spark):
+    """A dense graph, where the order is one path through nearly all nodes."""
+    rng = random.Random(3)
+    ids = [f"n{i:03}" for i in range(300)]
+    pairs = sorted({(a, b) for a, b in ((rng.choice(ids), rng.choice(ids)) for _ in range(4000)) if a != b})
+    _, edges = frames(spark, ids, pairs)
+    found = T.dfs_order(edges, seeds(spark, "n000", "absent"), depth=8).orderBy("root", "position").collect()
+    assert [r["node"] for r in found] == ["absent", *ordered_dfs(pairs, "n000")]
+
+
+def test_ranked_rows_of_a_hot_group(spark):
+    from pyspark.sql import functions as F
+
+    from sourceloom.functions.ranking import ranked
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 5 == 0, F.col("id").cast("string")).alias("g"), F.xxhash64("id").alias("v"))
+    got = ranked(rows, ["g"], ["v"]).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["g"], []).append((r["v"], r["position"]))
+    assert len(got) == 5000 and all([p for _, p in sorted(v)] == list(range(1, len(v) + 1)) for v in groups.values())
+
+
 def test_chain_keeps_cycles_and_repeats(spark):
     _, edges = frames(spark, "1234", [("1", "2"), ("2", "3"), ("3", "1"), ("1", "3")])
     rows = {(r["role"], r["node"]) for r in T.call_chain(edges, seeds(spark, "1"), 4).collect()}
