@@ -20,13 +20,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.textarrays import SpanNumbers, binary_buffers, sliced
+from sourceloom.llm.textarrays import SpanNumbers, binary_buffers, mix, sliced
 from sourceloom.session import prepare
 
 #: Distinct pre-tokens a worker keeps; beyond them its cache starts anew.
 CACHE_PIECES = 100_000
 #: Most columns of the blocked scan; short texts have about as many as rows.
 SCAN = 128
+#: Bytes of pre-tokens that are merged many at a time, and how many; a pair that makes no token.
+TOGETHER, TOGETHER_ROWS, NONE = 48, 8192, np.iinfo(np.int32).max
 # The white space of the split pattern.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -158,13 +160,109 @@ def merged(piece: bytes, rank: dict[bytes, int]) -> list[int]:
     return out
 
 
+class PairRanks:
+    """The rank of the token that two adjacent tokens make, for arrays of pairs, from a hash table with open slots."""
+
+    def __init__(self, rank: dict[bytes, int]) -> None:
+        pairs = [(a << 32 | b, whole) for token, whole in rank.items() for k in range(1, len(token))
+                 if (a := rank.get(token[:k])) is not None and (b := rank.get(token[k:])) is not None]
+        keys, wholes = (np.array(c, np.int64) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.wholes = np.full(1 << bits, -1), np.full(1 << bits, NONE, np.int32)
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[free]], self.wholes[slot[free]] = keys[free], wholes[free]
+            left = np.ones(len(keys), bool)
+            left[free] = False
+            keys, wholes, slot = keys[left], wholes[left], (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys.view(np.uint64)) >> self.shift).astype(np.int64)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of tokens, NONE where they make no token."""
+        keys = a.astype(np.int64) << 32 | b
+        slot = self._slot(keys)
+        out, open_ = self.wholes[slot], np.flatnonzero((self.keys[slot] != keys) & (self.keys[slot] >= 0))
+        out[self.keys[slot] != keys] = NONE
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            there = self.keys[slot[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.wholes[slot[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return out
+
+
+@lru_cache(4)
+def pair_ranks(path: str) -> PairRanks:
+    return PairRanks(ranks(path))
+
+
+def merged_together(found: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of pre-tokens of at most TOGETHER bytes, one after the other, and how many each has.
+
+    A row of a matrix holds the tokens of a pre-token, linked by the columns of the next and the last one. In each round every
+    row joins its pair of least rank, the leftmost first, until none has one.
+    """
+    rank, table, n = ranks(path), pair_ranks(path), len(found)
+    sizes = np.fromiter(map(len, found), np.int64, n)
+    width = int(sizes.max(initial=1))
+    inside = np.arange(width) < sizes[:, None]
+    token = np.zeros((n, width + 1), np.int32)
+    token[:, :width][inside] = np.array([rank.get(bytes([b]), 0) for b in range(256)], np.int32)[np.frombuffer(b"".join(found), np.uint8)]
+    after = np.tile(np.arange(1, width + 2, dtype=np.int32), (n, 1))
+    before = np.tile(np.arange(-1, width, dtype=np.int32), (n, 1))
+    made = np.full((n, width + 1), NONE, np.int32)
+    paired = inside[:, 1:]
+    made[:, :width - 1][paired] = table.of(token[:, :width - 1][paired], token[:, 1:width][paired])
+    whole = np.fromiter((rank.get(piece, -1) for piece in found), np.int64, n)
+    alive = inside.copy()
+    alive[whole >= 0, 1:] = False
+    token[whole >= 0, 0] = whole[whole >= 0]
+    row = np.flatnonzero((whole < 0) & (sizes > 1))
+    while len(row):
+        at = made[row].argmin(axis=1)
+        best = made[row, at]
+        going = best < NONE
+        row, at, best = row[going], at[going], best[going]
+        gone = after[row, at]
+        following = after[row, gone]
+        token[row, at], after[row, at], made[row, gone], alive[row, gone] = best, following, NONE, False
+        more = following < sizes[row]
+        before[row[more], following[more]] = at[more]
+        new = np.full(len(row), NONE, np.int32)
+        new[more] = table.of(best[more], token[row[more], following[more]])
+        made[row, at] = new
+        last = before[row, at]
+        more = last >= 0
+        made[row[more], last[more]] = table.of(token[row[more], last[more]], best[more])
+    return token[:, :width][alive], alive.sum(axis=1)
+
+
 class Pieces(dict):
-    """Numbers of pre-tokens; a new one is merged and its ids are appended to ``ids``."""
+    """Numbers of pre-tokens; new ones are merged and their ids are appended to ``ids``."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
-        self.rank, self.ids, self.ends = ranks(path), array("I"), array("q", [0])
-        self.numbers = SpanNumbers(lambda found: list(map(self.__getitem__, found)), 19)
+        self.path, self.rank, self.ids, self.ends = path, ranks(path), array("I"), array("q", [0])
+        self.numbers = SpanNumbers(self.of_all, 19)
+
+    def of_all(self, found: list[bytes]) -> list[int]:
+        """The numbers of pre-tokens; the short ones that are new are merged together."""
+        new = [piece for piece in dict.fromkeys(found) if 0 < len(piece) <= TOGETHER and piece not in self]
+        new.sort(key=len)
+        for at in range(0, len(new), TOGETHER_ROWS):
+            some = new[at:at + TOGETHER_ROWS]
+            ids, counts = merged_together(some, self.path)
+            begin, end = len(self.ends) - 1, self.ends[-1]
+            self.ids.frombytes(ids.astype(np.uint32).tobytes())
+            self.ends.frombytes((np.cumsum(counts) + end).astype(np.int64).tobytes())
+            self.update(zip(some, range(begin, begin + len(some))))
+        return list(map(self.__getitem__, found))
 
     def __missing__(self, piece: bytes) -> int:
         self.ids.extend(merged(piece, self.rank))
