@@ -38,7 +38,9 @@ def commit_size(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
 
 
 def _dated(commits: DataFrame, commit_files: DataFrame, *columns: str) -> DataFrame:
-    return commit_files.join(commits.select(REPO, "hash", "ts", *columns), "hash")
+    """File rows with their commit; files that name their repository only meet that one's commits."""
+    keys = [REPO, "hash"] if REPO in commit_files.columns else ["hash"]
+    return commit_files.join(commits.select(REPO, "hash", "ts", *columns), keys)
 
 
 def file_changes(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
@@ -111,18 +113,18 @@ def module_activity(commits: DataFrame, commit_files: DataFrame, module: Column,
             .withColumn("state", F.when(F.col("recent_changes") > 0, "recently_active").otherwise("stable")))
 
 
-def co_change(commit_files: DataFrame, targets: DataFrame, min_support: int = 2) -> DataFrame:
+def co_change(commits: DataFrame, commit_files: DataFrame, targets: DataFrame, min_support: int = 2) -> DataFrame:
     """Files that change in the same commits as each target: support and confidence percent.
 
-    ``targets`` has ``path``. The work is the targets' commits times their files; pairs are never
-    formed inside a commit except with a target.
+    ``targets`` has repository_id and ``path``; a path that several repositories have is a file of its own in each. The work is the
+    targets' commits times their files; pairs are never formed inside a commit except with a target.
     """
-    touches = commit_files.select("hash", "path").distinct()
-    wanted = touches.join(targets.select("path").distinct(), "path", "left_semi").withColumnRenamed("path", "target")
-    totals = wanted.groupBy("target").agg(F.count(F.lit(1)).alias("target_changes"))
-    together = (touches.join(wanted, "hash").where("path <> target").groupBy("target", F.col("path").alias("partner"))
+    touches = _dated(commits, commit_files).select(REPO, "hash", "path").distinct()
+    wanted = touches.join(targets.select(REPO, "path").distinct(), [REPO, "path"], "left_semi").withColumnRenamed("path", "target")
+    totals = wanted.groupBy(REPO, "target").agg(F.count(F.lit(1)).alias("target_changes"))
+    together = (touches.join(wanted, [REPO, "hash"]).where("path <> target").groupBy(REPO, "target", F.col("path").alias("partner"))
                 .agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support))
-    return together.join(totals, "target").withColumn(
+    return together.join(totals, [REPO, "target"]).withColumn(
         "confidence", F.round(F.col("support") * 100 / F.col("target_changes"), 2))
 
 
@@ -162,10 +164,10 @@ def replay(commits: DataFrame, commit_files: DataFrame, entities: dict[str, Colu
     return summed.select(REPO, (F.col("commit_index") - 1).alias("commit_index"), "hash", *entities)
 
 
-def related_commits(commit_files: DataFrame, targets: DataFrame, k: int = 3) -> DataFrame:
-    """For each target commit the ``k`` other commits sharing most files."""
-    touches = commit_files.select("hash", "path").distinct()
-    wanted = touches.join(targets.select("hash").distinct(), "hash", "left_semi").withColumnRenamed("hash", "target")
-    shared = (touches.join(wanted, "path").where("hash <> target").groupBy("target", "hash")
+def related_commits(commits: DataFrame, commit_files: DataFrame, targets: DataFrame, k: int = 3) -> DataFrame:
+    """For each target commit (repository_id, hash) the ``k`` other commits of its repository sharing most files."""
+    touches = _dated(commits, commit_files).select(REPO, "hash", "path").distinct()
+    wanted = touches.join(targets.select(REPO, "hash").distinct(), [REPO, "hash"], "left_semi").withColumnRenamed("hash", "target")
+    shared = (touches.join(wanted, [REPO, "path"]).where("hash <> target").groupBy(REPO, "target", "hash")
               .agg(F.count(F.lit(1)).alias("shared_files")))
-    return top_per_group(shared, ["target"], [F.desc("shared_files"), F.col("hash")], k)
+    return top_per_group(shared, [REPO, "target"], [F.desc("shared_files"), F.col("hash")], k)

@@ -246,11 +246,37 @@ def impact_graph_nodes(spark, folder):
 
 
 @query("impact_graph_edges", _impact_check("""
-select src, dst, relationship_type from edges where relationship_type = 'uses' and src in (select node from kept) and dst in (select node from kept)""", _KEPT))
+select a.root, src, dst, relationship_type from edges e join kept a on a.node = e.src join kept b on b.root = a.root and b.node = e.dst
+where relationship_type = 'uses'""", _KEPT))
 def impact_graph_edges(spark, folder):
     graph = estate(spark, folder)
     found = I.impact_graph(_radius(spark, folder), graph.nodes, graph.edges, 2, ["class", "function"], "uses")[1]
-    return found.select("src", "dst", "relationship_type")
+    return found.select("root", "src", "dst", "relationship_type")
+
+
+_RISKY = """, risks as (select node_id, case when s >= 0.95 then 'Critical' when s >= 0.8 then 'High' when s >= 0.5 then 'Medium' else 'Low' end as risk
+  from (select *, (rank() over (partition by entity_type order by in_degree) - 1) / count(*) over (partition by entity_type) as s from deg) t),
+kept as (select r.root, r.node from radius r join nodes n on n.node_id = r.node join risks k on k.node_id = r.node
+  where depth <= 3 and k.risk = 'High' and n.file_path like '%.py')
+"""
+
+
+def _risky(spark, folder):
+    graph = estate(spark, folder)
+    risks = I.risk_level(D.degrees(graph.nodes, graph.edges))
+    return I.impact_graph(_radius(spark, folder), graph.nodes, graph.edges, 3, relationship="imports", risks=risks, risk="High", language="Python")
+
+
+@query("impact_graph_risky_nodes", _impact_check("select root, node from kept", _RISKY))
+def impact_graph_risky_nodes(spark, folder):
+    return _risky(spark, folder)[0].select("root", "node")
+
+
+@query("impact_graph_risky_edges", _impact_check("""
+select a.root, src, dst from edges e join kept a on a.node = e.src join kept b on b.root = a.root and b.node = e.dst
+where relationship_type = 'imports'""", _RISKY))
+def impact_graph_risky_edges(spark, folder):
+    return _risky(spark, folder)[1].select("root", "src", "dst")
 
 
 def _unused(kind: str) -> str:

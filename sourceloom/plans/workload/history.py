@@ -116,14 +116,15 @@ def module_activity(spark, folder):
 
 @query("co_change", _check("""
 , best as (select repository_id, min_by(path, (-changes, path)) as target from changes group by 1),
-mine as (select distinct b.target, f.hash from commit_files f join best b on b.target = f.path),
-totals as (select target, count(*) as n from mine group by 1)
-select m.target, f.path as partner, count(*) as support, max(t.n) as target_changes, round(count(*) * 100 / max(t.n), 2) as confidence
-from mine m join commit_files f on f.hash = m.hash join totals t on t.target = m.target where f.path <> m.target group by 1, 2 having count(*) >= 2"""))
+mine as (select distinct b.repository_id, b.target, d.hash from dated d join best b on b.repository_id = d.repository_id and b.target = d.path),
+totals as (select repository_id, target, count(*) as n from mine group by 1, 2)
+select m.repository_id, m.target, d.path as partner, count(*) as support, max(t.n) as target_changes, round(count(*) * 100 / max(t.n), 2) as confidence
+from mine m join dated d on d.repository_id = m.repository_id and d.hash = m.hash join totals t on t.repository_id = m.repository_id and t.target = m.target
+where d.path <> m.target group by 1, 2, 3 having count(*) >= 2"""))
 def co_change(spark, folder):
     commits, files = _inputs(spark, folder)
     hottest = first_per_group(H.file_changes(commits, files), ["repository_id"], F.struct(-F.col("changes"), F.col("path")), ["path"])
-    return H.co_change(files, hottest)
+    return H.co_change(commits, files, hottest)
 
 
 @query("file_lifecycle", _check("""
@@ -146,14 +147,16 @@ def replay(spark, folder):
 
 
 @query("related_commits", _check("""
-, biggest as (select min_by(hash, (-n, hash)) as target from (select repository_id, c.hash, count(*) as n from commits c join commit_files f on f.hash = c.hash group by 1, 2) t group by repository_id),
-shared as (select b.target, o.hash, count(*) as shared_files from biggest b join commit_files m on m.hash = b.target
-  join commit_files o on o.path = m.path and o.hash <> b.target group by 1, 2)
-select target, hash, shared_files, row_number() over (partition by target order by shared_files desc, hash) as rank from shared qualify rank <= 3"""))
+, sized as (select repository_id, hash, count(*) as n from dated group by 1, 2),
+biggest as (select repository_id, min_by(hash, (-n, hash)) as target from sized group by 1),
+shared as (select b.repository_id, b.target, o.hash, count(*) as shared_files from biggest b join dated m on m.repository_id = b.repository_id and m.hash = b.target
+  join dated o on o.repository_id = b.repository_id and o.path = m.path and o.hash <> b.target group by 1, 2, 3)
+select repository_id, target, hash, shared_files, row_number() over (partition by repository_id, target order by shared_files desc, hash) as rank
+from shared qualify rank <= 3"""))
 def related_commits(spark, folder):
     commits, files = _inputs(spark, folder)
     largest = first_per_group(H.commit_size(commits, files), ["repository_id"], F.struct(-F.col("files_changed"), F.col("hash")), ["hash"])
-    return H.related_commits(files, largest)
+    return H.related_commits(commits, files, largest)
 
 
 @query("function_evolution", """

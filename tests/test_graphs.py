@@ -177,3 +177,17 @@ def test_hub_holding_most_edges(spark):
     assert T.reach(T.links(edges), seeds(spark, "s0"), 2).count() == 400
     assert T.neighbors_report(edges, seeds(spark, "hub"), 500).count() == 450
     assert K.component_sizes(K.connected_components(nodes, edges)).first()["size"] == 401
+
+
+def test_impact_edges_stay_with_their_root(spark):
+    """Two roots whose affected nodes are linked with each other: only links among one root's own nodes count."""
+    from sourceloom.operators import impact as I
+    nodes = spark.createDataFrame([(n, "file", f"src/{n}.{'py' if n < 'd' else 'ts'}") for n in "abcdef"], "node_id string, entity_type string, file_path string")
+    edges = spark.createDataFrame([(a, b, "imports") for a, b in ("ba", "ca", "cb", "ed", "fd", "fe", "be")], "src string, dst string, relationship_type string")
+    radius = T.blast_radius(edges, seeds(spark, "a", "d"), 1)
+    kept, inner = I.impact_graph(radius, nodes, edges, 1)
+    assert {(r["root"], r["node"]) for r in kept.collect()} == {("a", "b"), ("a", "c"), ("d", "e"), ("d", "f")}
+    assert {(r["root"], r["src"], r["dst"]) for r in inner.collect()} == {("a", "c", "b"), ("d", "f", "e")}
+    risks = spark.createDataFrame([("b", "High"), ("c", "High"), ("f", "Low")], "node_id string, risk string")
+    kept, inner = I.impact_graph(radius, nodes, edges, 1, risks=risks, risk="High", language="Python")
+    assert {r["node"] for r in kept.collect()} == {"b", "c"} and [r["root"] for r in inner.collect()] == ["a"]
