@@ -167,7 +167,7 @@ def normalized_name(name: Column) -> Column:
 def name_error(name: Column) -> Column:
     ok = normalized_name(name).rlike(rf"\A(?:{V.NAME_PATTERN})\z")
     return F.when(~F.coalesce(ok, F.lit(False)),
-                  "name must be 3-120 characters and use letters, numbers, spaces, '.', '_' or '-'")
+                  V.NAME_MESSAGE)
 
 
 def normalized_tags(tags: Column) -> Column:
@@ -177,8 +177,8 @@ def normalized_tags(tags: Column) -> Column:
 def tags_error(tags: Column) -> Column:
     clean = normalized_tags(tags)
     bad = F.exists(clean, lambda t: ~t.rlike(rf"\A(?:{V.TAG_PATTERN})\z"))
-    return (F.when(bad, "tags must be 1-32 lowercase letters, numbers, '.', '_' or '-'")
-            .when(F.size(clean) > V.MAX_TAGS, "a repository may have at most 20 tags"))
+    return (F.when(bad, V.TAG_MESSAGE)
+            .when(F.size(clean) > V.MAX_TAGS, V.TAG_COUNT_MESSAGE))
 
 
 def git_source_error(url: Column, branch: Column) -> Column:
@@ -191,7 +191,7 @@ def git_source_error(url: Column, branch: Column) -> Column:
     host = F.lower(F.when(address.startswith("["), F.regexp_extract(address, r"^\[([^\]]*)\]", 1))
                    .otherwise(F.substring_index(address, ":", 1)))
     branch_ok = ref.rlike(rf"\A(?:{V.BRANCH_PATTERN})\z") & ~ref.contains("..") & ~ref.contains("//")
-    return (F.when(~scheme.isin("https", "http") | (host == ""), "git_url must be an absolute HTTP(S) URL")
-            .when(user.rlike("[^:]"), "credentials must not be embedded in git_url")
-            .when(host.isin(*V.LOCAL_HOSTS), "local Git hosts are not allowed")
-            .when(~branch_ok, "invalid Git branch name"))
+    return (F.when(~scheme.isin("https", "http") | (host == ""), V.GIT_URL_MESSAGE)
+            .when(user.rlike("[^:]"), V.GIT_CREDENTIALS_MESSAGE)
+            .when(host.isin(*V.LOCAL_HOSTS), V.GIT_HOST_MESSAGE)
+            .when(~branch_ok, V.GIT_BRANCH_MESSAGE))

@@ -129,7 +129,7 @@ def anti_patterns(components: DataFrame, edges: DataFrame, metrics: DataFrame) -
     direct = illegal_access(components, edges).groupBy(REPO).agg(F.count(F.lit(1)).alias("n"))
     large_title = F.concat(F.lit("Large "), F.col("layer"), F.lit(" layer"))
     parts = [
-        _finding(direct, "direct_database_access", "high", count=F.least("n", F.lit(10))),
+        _finding(direct, "direct_database_access", "high", count=F.col("n")),
         _finding(metrics.where("repository_count = 0 and database_count > 0"), "missing_repository_pattern", "medium"),
         _finding(metrics.where("layer_coupling > 0.65"), "high_coupling", "high", count=F.lit(1)),
         _finding(large_layers(components), "large_layer", "medium", large_title, F.lit(1)),

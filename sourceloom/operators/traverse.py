@@ -7,6 +7,7 @@ joined by shuffle with Spark's skew handling. Nothing is collected to the driver
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -17,10 +18,12 @@ from pyspark.sql import functions as F
 from sourceloom.functions import fixed_values as V
 from sourceloom.functions import scalars as S
 from sourceloom.functions.ranking import ranked, top_per_group
-from sourceloom.session import cut_counted, small_side, stored
+from sourceloom.session import cut, cut_counted, cut_observed, small_side, stored, stored_observed
 
 #: Links of one root that a task may walk depth first.
 TASK_EDGES = 1_000_000
+#: Steps along found paths that one job takes.
+JOINED = 3
 
 
 def links(edges: DataFrame, direction: str = "outgoing", rel_types=None) -> DataFrame:
@@ -65,6 +68,58 @@ def reach(pairs: DataFrame, seeds: DataFrame, depth: int, include_root: bool = F
     return _union(found, _leveled(frontier, 0))
 
 
+@dataclass
+class PackedReach:
+    """Reach of many roots: ``numbers`` (root, block, bit) and, for each level at which a node is first met, ``planes`` (block, node,
+    depth, bits) with a bit for every root of the block that meets it there."""
+
+    numbers: DataFrame
+    planes: DataFrame
+
+    def pairs(self) -> DataFrame:
+        """(root, node, depth) of every root and node it reaches."""
+        return self.planes.join(self.numbers, "block").where("(shiftright(bits, bit) & 1) = 1").select("root", "node", "depth")
+
+    def counts(self) -> DataFrame:
+        """(root, depth, node_count): nodes first met at each depth. Blocks are summed bit by bit before roots are told apart."""
+        sums = F.array(*[F.sum(F.expr(f"shiftright(bits, {k}) & 1")) for k in range(64)])
+        summed = self.planes.groupBy("block", "depth").agg(sums.alias("sums")).select("block", "depth", F.posexplode("sums").alias("bit", "node_count"))
+        return summed.where("node_count > 0").join(self.numbers, ["block", "bit"]).select("root", "depth", "node_count")
+
+    def farthest(self) -> DataFrame:
+        """(root, depth): the largest distance at which a root first meets a node."""
+        bits = self.planes.groupBy("block", "depth").agg(F.bit_or("bits").alias("bits"))
+        return bits.join(self.numbers, "block").where("(shiftright(bits, bit) & 1) = 1").groupBy("root").agg(F.max("depth").alias("depth"))
+
+
+def packed_reach(pairs: DataFrame, seeds: DataFrame, depth: int | None = None) -> PackedReach:
+    """Every node within ``depth`` steps of each root (all if None), for thousands of roots at once.
+
+    64 roots share a block, and a (block, node) row holds one bit for each of them that has met the node, so a level is one
+    join with the links and one bitwise or. A block leaves once none of its roots meets a new node; only rows with a new bit go
+    on. Roots are numbered in order of their ids, so that like ones share blocks.
+    """
+    if seeds.isEmpty():
+        return PackedReach(*[seeds.sparkSession.createDataFrame([], kind) for kind in ("root string, block long, bit int", "block long, node string, depth int, bits long")])
+    numbers = stored(seeds.select("root").distinct().orderBy("root").withColumn("at", F.monotonically_increasing_id())
+                     .select("root", F.expr("at div 64").alias("block"), F.expr("cast(at % 64 as int)").alias("bit")), "packed-roots")
+    steps = stored(pairs.select("src", "dst").where("src <> dst").distinct(), "packed-links")
+    seen = numbers.select("block", F.col("root").alias("node"), F.expr("shiftleft(1L, bit)").alias("bits"))
+    planes, plane, level = [_leveled(seen, 0)], seen, 0
+    while depth is None or level < depth:
+        level += 1
+        offers = plane.withColumnRenamed("node", "src").join(steps, "src").groupBy("block", F.col("dst").alias("node")).agg(F.bit_or("bits").alias("offer"))
+        merged = seen.join(offers, ["block", "node"], "full_outer").select(
+            "block", "node", F.expr("coalesce(bits, 0L) | coalesce(offer, 0L)").alias("bits"), F.expr("coalesce(offer, 0L) & ~coalesce(bits, 0L)").alias("fresh"))
+        merged, measured = stored_observed(merged, "packed-level", met=F.count_if(F.col("fresh") != 0))
+        if not measured["met"]:
+            break
+        plane = merged.where("fresh <> 0").select("block", "node", F.col("fresh").alias("bits"))
+        planes.append(_leveled(plane, level))
+        seen = merged.join(plane.select("block").distinct(), "block", "left_semi").select("block", "node", "bits")
+    return PackedReach(numbers, _union(planes, seen))
+
+
 def walk_levels(pairs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(root, node, depth) for every walk length 1..depth: a node may appear on several levels."""
     frontier, rows = _start(seeds)
@@ -240,30 +295,77 @@ def edges_within(edges: DataFrame, selected: DataFrame) -> DataFrame:
     return kept.select(*edges.columns)
 
 
-def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 6) -> DataFrame:
-    """(src, dst, length, path) for asked (src, dst) pairs; ties go to the smallest path.
+def _meet(step_links: DataFrame, asked: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """Levels met from both ends of each asked pair, and where they meet.
 
-    Each level keeps the smallest path per (pair, node); a pair leaves the search once it is met.
+    (a, b, ahead, node, depth): nodes by their distance from a (ahead) or to b; (a, b, p, q): the levels at which the two met, so that
+    a shortest path has p + q steps. In each round the side of a pair with fewer nodes on its last level grows by one.
     """
-    step_links = links(edges)
-    asked = pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct()
-    frontier, rows = cut_counted(asked.select("a", "b", F.col("a").alias("node"), F.array("a").alias("path")))
-    seen, found = [frontier.select("a", "b", "node")], []
-    for level in range(1, S.clamp_depth(max_depth) + 1):
-        step = (step_links.join(small_side(frontier, rows), step_links["src"] == frontier["node"])
-                .groupBy("a", "b", F.col("dst").alias("node"))
-                .agg(F.min(F.concat("path", F.array("dst"))).alias("path")))
-        fresh, rows = cut_counted(step.join(_union(seen, seen[0]), ["a", "b", "node"], "left_anti"))
+    both = stored(step_links.select(F.explode(F.array(
+        F.struct(F.lit(True).alias("ahead"), "src", "dst"), F.struct(F.lit(False).alias("ahead"), F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*"), "path-links")
+    ends = F.explode(F.array(F.struct(F.lit(True).alias("ahead"), F.col("a").alias("node")), F.struct(F.lit(False).alias("ahead"), F.col("b").alias("node")))).alias("e")
+    seen = cut(asked.select("a", "b", ends).select("a", "b", "e.ahead", "e.node", F.lit(0).alias("depth")))
+    open_ = asked.select("a", "b", F.lit(0).alias("p"), F.lit(0).alias("q"))
+    levels, last, met, keys = [seen], seen, [], ["a", "b", "ahead", "node"]
+    for _ in range(max_depth):
+        every = _union(levels, seen)
+        sizes = last.groupBy("a", "b").agg((F.count_if(F.col("ahead")) <= F.count_if(~F.col("ahead"))).alias("turn"))
+        edge = last.join(sizes, ["a", "b"]).withColumn("grows", F.col("ahead") == F.col("turn"))
+        fresh, rows = cut_counted(both.join(edge.where("grows").withColumnRenamed("node", "src"), ["ahead", "src"]).groupBy("a", "b", "ahead", F.col("dst").alias("node"))
+                                  .agg((F.min("depth") + 1).alias("depth")).join(every.select(*keys), keys, "left_anti").select(*keys, "depth"))
         if rows == 0:
             break
-        hits = fresh.where("node = b")
-        found.append(hits.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(level).alias("length"), "path"))
-        seen.append(fresh.select("a", "b", "node"))
-        frontier, rows = cut_counted(fresh.join(hits.select("a", "b"), ["a", "b"], "left_anti"))
-        if rows == 0:
+        levels.append(fresh)
+        grown = fresh.groupBy("a", "b").agg(F.first("ahead").alias("side"), F.max("depth").alias("to"))
+        there = fresh.select("a", "b", "node", (~F.col("ahead")).alias("ahead")).join(every, keys, "left_semi").select("a", "b").distinct()
+        state = open_.join(grown, ["a", "b"]).join(there.withColumn("hit", F.lit(True)), ["a", "b"], "left").select(
+            "a", "b", F.expr("if(side, to, p)").alias("p"), F.expr("if(side, q, to)").alias("q"), "side", F.coalesce("hit", F.lit(False)).alias("hit"))
+        state, measured = cut_observed(state, left=F.count_if((~F.col("hit")) & (F.col("p") + F.col("q") < max_depth)))
+        met.append(state.where("hit").select("a", "b", "p", "q"))
+        if not measured["left"]:
             break
-    empty = frontier.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(0).alias("length"), "path")
-    return _union(found, empty)
+        open_ = state.where(f"not hit and p + q < {max_depth}")
+        # the side that grew goes on from its new level, the other one from where it stood
+        kept = last.join(open_.select("a", "b", "side"), ["a", "b"]).where("ahead <> side").select(*keys, "depth")
+        last = cut(kept.unionByName(fresh.join(open_.select("a", "b"), ["a", "b"], "left_semi")))
+        open_ = open_.select("a", "b", "p", "q")
+    return _union(levels, seen), _union(met, asked.select("a", "b", F.lit(0).alias("p"), F.lit(0).alias("q")).limit(0))
+
+
+def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 6) -> DataFrame:
+    """(src, dst, length, path) for asked (src, dst) pairs; ties go to the smallest path.
+
+    A search runs from both ends, the one with the smaller frontier first, and only distances are kept of what it meets. From
+    where the two meet, the levels of the first half are walked back to find the nodes on shortest paths; then each pair steps
+    along them, the smallest next node first. Frontiers hold no paths; the path of a pair is put together once at the end.
+    """
+    step_links = stored(links(edges).where("src <> dst").select("src", "dst").distinct(), "path-steps")
+    asked, _ = cut_counted(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct())
+    levels, met = _meet(step_links, asked, S.clamp_depth(max_depth))
+    met, found = cut_counted(met)
+    if not found:
+        return asked.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(0).alias("length"), F.array("a").alias("path")).limit(0)
+    levels = stored(levels.join(met, ["a", "b"]), "path-levels")
+    near, far = levels.where("ahead").select("a", "b", "node", "depth"), levels.where("not ahead")
+    longest = met.agg(F.max("p").alias("p"), F.max(F.col("p") + F.col("q")).alias("d")).first()
+    current = cut(levels.where("ahead and depth = p").join(far.where("depth = q").select("a", "b", "node"), ["a", "b", "node"], "left_semi").select("a", "b", "node", "depth"))
+    useful = [current]
+    for k in range(longest.p):
+        back = step_links.join(current.withColumnRenamed("node", "dst"), "dst").select("a", "b", F.col("src").alias("node"), (F.col("depth") - 1).alias("depth")).distinct()
+        current = back.join(near, ["a", "b", "node", "depth"], "left_semi")
+        current = cut(current) if k % JOINED == JOINED - 1 else current
+        useful.append(current)
+    allowed = _union(useful, current).withColumnRenamed("depth", "at").unionByName(far.where("depth < q").select("a", "b", "node", (F.col("p") + F.col("q") - F.col("depth")).alias("at")))
+    allowed = stored(allowed, "path-nodes")
+    step = met.select("a", "b", F.col("a").alias("node"), F.lit(0).alias("at"))
+    steps = [step]
+    for k in range(longest.d):
+        ahead = step_links.join(step.withColumnRenamed("node", "src"), "src").select("a", "b", F.col("dst").alias("node"), (F.col("at") + 1).alias("at"))
+        step = ahead.join(allowed, ["a", "b", "node", "at"], "left_semi").groupBy("a", "b", "at").agg(F.min("node").alias("node")).select("a", "b", "node", "at")
+        step = cut(step) if k % JOINED == JOINED - 1 else step
+        steps.append(step)
+    path = F.transform(F.array_sort(F.collect_list(F.struct("at", "node"))), lambda s: s["node"])
+    return _union(steps, step).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.max("at").alias("length"), path.alias("path"))
 
 
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -308,7 +410,7 @@ def all_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 5) -> DataFra
 
 def all_paths_report(paths: DataFrame, max_paths: int = V.MAX_PATHS) -> DataFrame:
     """The first ``max_paths`` paths per pair by length then path, with full count and shortest length."""
-    listed = top_per_group(paths, ["src", "dst"], [F.col("length"), F.col("path")], min(max_paths, V.MAX_PATHS))
+    listed = top_per_group(paths, ["src", "dst"], [F.col("length"), F.col("path")], max_paths)
     totals = paths.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("total_paths"), F.min("length").alias("shortest_length"))
     return listed.join(totals, ["src", "dst"])
 
@@ -367,6 +469,11 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int = 4, rel_typ
     return found.withColumn("impact", F.when(F.col("depth") == 1, "direct").otherwise("indirect"))
 
 
+def blast_counts(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 4, rel_types=None) -> DataFrame:
+    """(root, depth, node_count): how many nodes depend on each of many roots, by distance, without a row for each of them."""
+    return packed_reach(links(edges, "incoming", rel_types), seeds, max_depth).counts().where("depth > 0")
+
+
 def blast_levels(radius: DataFrame) -> DataFrame:
     return radius.groupBy("root", "depth").agg(F.count(F.lit(1)).alias("node_count"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom.functions.ranking import first_per_group
+from sourceloom.operators.components import dependency_depth
 from sourceloom.operators.degrees import degrees
 from sourceloom.plans.analysis import Analysis, Graph, analyze, build_graph
 from sourceloom.session import prepare, stored
@@ -202,6 +203,12 @@ def roots(spark: SparkSession, folder: str) -> DataFrame:
     return _once(spark, folder, "roots", build)
 
 
+def estate_depth(spark: SparkSession, folder: str) -> DataFrame:
+    """The estate's dependency depth, computed once."""
+    graph = estate(spark, folder)
+    return _once(spark, folder, "depth", lambda: stored(dependency_depth(graph.nodes, graph.edges), "estate-depth"))
+
+
 DEGREES = """
 with deg as (
   select n.repository_id, n.node_id, n.entity_type, coalesce(i.c, 0) as in_degree, coalesce(o.c, 0) as out_degree,

@@ -8,8 +8,9 @@ from sourceloom.functions import fixed_values as V
 from sourceloom.operators import architecture as A
 from sourceloom.operators import degrees as D
 from sourceloom.operators import impact as I
+from sourceloom.operators import reports as RP
 from sourceloom.operators import traverse as T
-from sourceloom.plans.workload.adapters import DEGREES, _once, estate, roots, source_graph, with_inputs
+from sourceloom.plans.workload.adapters import DEGREES, _once, estate, estate_depth, roots, source_graph, with_inputs
 from sourceloom.plans.workload.registry import query
 from sourceloom.plans.workload.symbols import SHAPE, SOURCE_EDGES, SOURCE_NODES
 from sourceloom.session import stored
@@ -48,7 +49,7 @@ shaped as (select *, round(layer_count * 2 + layer_coupling * 30 + component_cou
 metrics as (select 'estate' as repository_id, *, cast(greatest(0, least(100, trunc(100 - layer_coupling * 35 - greatest(0, architecture_complexity - 20)))) as int) as health_score from shaped),
 findings as (
   select 'direct_database_access' as pattern_type, 'high' as severity, 'Direct database access from upper layers' as title,
-    least(10, count(*)) as evidence_count from clinks where src_layer in ('presentation', 'api', 'controller') and dst_layer = 'data' having count(*) > 0
+    count(*) as evidence_count from clinks where src_layer in ('presentation', 'api', 'controller') and dst_layer = 'data' having count(*) > 0
   union all select 'missing_repository_pattern', 'medium', 'Missing repository boundary', 0 from metrics where repository_count = 0 and database_count > 0
   union all select 'high_coupling', 'high', 'High cross-layer coupling', 1 from metrics where layer_coupling > 0.65
   union all select 'large_layer', 'medium', concat('Large ', layer, ' layer'), 1 from components group by layer having count(*) > 50)
@@ -138,6 +139,72 @@ def anti_patterns(spark, folder):
     return A.list_anti_patterns(_findings(spark, folder)).drop("repository_id")
 
 
+_SAYS = """
+, proof as (
+  select 'direct_database_access' as pattern_type, 'Direct database access from upper layers' as title, src_name || '>' || dst_name || ':' || relationship_type as item,
+    row_number() over (order by src_name, dst_name, relationship_type) as k from clinks where src_layer in ('presentation', 'api', 'controller') and dst_layer = 'data'
+  union all select 'high_coupling', 'High cross-layer coupling', printf('%.3f', layer_coupling), 1 from metrics where layer_coupling > 0.65
+  union all select 'large_layer', concat('Large ', layer, ' layer'), layer || '=' || count(*), 1 from components group by layer having count(*) > 50),
+said as (select f.*, case pattern_type when 'direct_database_access' then 'Routes or controllers appear to depend directly on data-layer components.'
+    when 'missing_repository_pattern' then 'Data-layer components exist but no repository components were detected.'
+    when 'high_coupling' then 'Most relationships cross architecture layer boundaries.'
+    else 'The ' || split_part(title, ' ', 2) || ' layer contains ' || (select count(*) from components c where c.layer = split_part(f.title, ' ', 2)) || ' inferred components.' end as description,
+  case pattern_type when 'direct_database_access' then 'Introduce a service/repository boundary and route database access through it.'
+    when 'missing_repository_pattern' then 'Add repository/DAO components to isolate persistence access.'
+    when 'high_coupling' then 'Reduce direct cross-layer dependencies and introduce stable interfaces.'
+    else 'Split large areas into cohesive subsystems.' end as recommendation,
+  (select string_agg(item, '; ' order by k) from proof p where p.pattern_type = f.pattern_type and p.title = f.title and k <= 10) as evidence from findings f)
+"""
+
+
+def _findings_report(spark, folder):
+    return RP.findings_report(_components(spark, folder), estate(spark, folder).edges, _metrics(spark, folder))
+
+
+@query("anti_pattern_report", _check("select * from said", METRICS + _SAYS))
+def anti_pattern_report(spark, folder):
+    item = F.expr("""array_join(transform(evidence, e -> case when e.target is not null then concat(e.source, '>', e.target, ':', e.relationship_type)
+      when e.source is not null then concat(e.source, '=', cast(e.value as bigint)) else format_string('%.3f', e.value) end), '; ')""")
+    return _findings_report(spark, folder).withColumn("evidence", item).drop("repository_id")
+
+
+@query("layers_grouped", _check("""
+select layer, count(*) as component_count, string_agg(name, ',' order by k) filter (where k <= 20) as components
+from (select *, row_number() over (partition by layer order by name, node_id) as k from components) t group by layer"""))
+def layers_grouped(spark, folder):
+    return RP.layers_grouped(_components(spark, folder)).select("layer", "component_count", F.array_join("components.name", ",").alias("components"))
+
+
+@query("architecture_report", _check("""
+, s as (select greatest(0, least(100, health_score - coalesce((select sum(case severity when 'critical' then 20 when 'high' then 12 when 'medium' then 7 when 'low' then 3 else 5 end) from findings), 0))) as score from metrics)
+select 'estate' as repository_id, score, (select string_agg(layer || '=' || n, ',' order by layer) from (select layer, count(*) as n from components group by layer)) as layers,
+  (select string_agg(pattern_type || '=' || evidence_count, ',' order by pattern_type, severity, title) from findings) as findings from s""", METRICS))
+def architecture_report(spark, folder):
+    health = A.architecture_health(_metrics(spark, folder), _findings(spark, folder))
+    report = RP.architecture_report(health, _components(spark, folder), _findings_report(spark, folder))
+    pairs = "array_join(transform({0}, x -> concat(x.{1}, '=', x.{2})), ',')"
+    return report.select("repository_id", "score", F.expr(pairs.format("layers", "layer", "component_count")).alias("layers"),
+                         F.expr(pairs.format("findings", "pattern_type", "evidence_count")).alias("findings"))
+
+
+@query("dependency_report", with_inputs(DEGREES + """
+, pairs as (select distinct src, dst from edges where relationship_type in ('imports', 'uses', 'calls', 'inherits')),
+walk(root, node, depth) using key (root, node) as (select distinct src, src, 0 from pairs union
+  select w.root, p.dst, min(w.depth + 1) from walk w join pairs p on p.src = w.node
+  where not exists (from recurring.walk k where k.root = w.root and k.node = p.dst) group by w.root, p.dst),
+idle as (select entity_type, count(*) as n from nodes where node_id not in (select dst from edges where relationship_type in ('imports', 'calls', 'uses')) group by 1),
+best as (select min_by(node_id, (-in_degree, node_id)) filter (where entity_type = 'file' and in_degree > 0) as f,
+  min_by(node_id, (-in_degree, node_id)) filter (where entity_type = 'function' and in_degree > 0) as g from deg)
+select 'estate' as repository_id, (select max(depth) from walk) as dependency_depth, coalesce((select n from idle where entity_type = 'file'), 0) as unused_files,
+  coalesce((select n from idle where entity_type = 'function'), 0) as unused_functions, (select label from nodes where node_id = f) as most_referenced_file_label,
+  (select label from nodes where node_id = g) as most_referenced_function_label from best""", "nodes", "edges", recursive=True))
+def dependency_report(spark, folder):
+    graph = estate(spark, folder)
+    metrics = D.dependency_metrics(D.degrees(graph.nodes, graph.edges))
+    return RP.dependency_report(graph.nodes, graph.edges, metrics, estate_depth(spark, folder)).select(
+        "repository_id", "dependency_depth", "unused_files", "unused_functions", "most_referenced_file_label", "most_referenced_function_label")
+
+
 @query("architecture_health", _check("""
 , s as (select greatest(0, least(100, health_score - coalesce((select sum(case severity when 'critical' then 20 when 'high' then 12 when 'medium' then 7 when 'low' then 3 else 5 end) from findings), 0))) as score from metrics)
 select 'estate' as repository_id, score, case when score >= 85 then 'low' when score >= 65 then 'medium' when score >= 40 then 'high' else 'critical' end as risk,

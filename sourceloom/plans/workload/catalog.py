@@ -71,10 +71,10 @@ def favorites(spark, folder):
 
 
 @query("tag_join", with_inputs("""
-with tags as (select distinct concat('repository:', l_suppkey) as repository_id, lower(l_returnflag || l_linestatus) as tag from lineitem where l_discount >= 0.1)
+with tags as (select distinct concat('repository:', l_suppkey) as repository_id, lower(l_returnflag || l_linestatus) as tag from lineitem)
 select repository_id, name from repositories where repository_id in (select repository_id from tags where tag = 'ao')""", "repositories"))
 def tag_join(spark, folder):
-    tags = table(spark, folder, "lineitem").where("l_discount >= 0.1").select(
+    tags = table(spark, folder, "lineitem").select(
         F.concat(F.lit("repository:"), "l_suppkey").alias("repository_id"), F.lower(F.concat("l_returnflag", "l_linestatus")).alias("tag")).distinct()
     return C.with_tag(load(spark, folder, "repositories"), tags, "AO").select("repository_id", "name")
 
@@ -354,10 +354,10 @@ def node_sync_stream(spark, folder):
     nodes = load(spark, folder, "nodes")
     batches = scratch_path(spark, "node-batches")
     first = _snapshot(nodes, 1)
-    first.coalesce(1).write.parquet(f"{batches}/a")
+    first.write.parquet(f"{batches}/a")
     root, state = scratch_path(spark, "node-sync"), scratch_path(spark, "sync-state")
     stream = lambda: spark.readStream.schema(first.schema).parquet(f"{batches}/*")
     ST.sync_nodes_stream(stream(), root, state).awaitTermination()
-    _snapshot(nodes.where(_NEW), 2).coalesce(1).write.parquet(f"{batches}/b")
+    _snapshot(nodes.where(_NEW), 2).write.parquet(f"{batches}/b")
     ST.sync_nodes_stream(stream(), root, state).awaitTermination()
     return spark.read.schema(first.schema).parquet(f"{root}/snapshot=1").select("entity_key", "node_id", "module")

@@ -401,6 +401,17 @@ def blast_levels(spark, folder):
     return T.blast_levels(T.blast_radius(estate(spark, folder).edges, roots(spark, folder), 8))
 
 
+@query("blast_counts_every_file", with_inputs("""
+with pairs as (select distinct dst as src, src as dst from edges),
+walk(root, node, depth) using key (root, node) as (select node_id, node_id, 0 from nodes where entity_type = 'file' union
+  select w.root, p.dst, min(w.depth + 1) from walk w join pairs p on p.src = w.node
+  where w.depth < 4 and not exists (from recurring.walk k where k.root = w.root and k.node = p.dst) group by w.root, p.dst)
+select root, depth, count(*) as node_count from walk where depth > 0 group by root, depth""", "nodes", "edges", recursive=True))
+def blast_counts_every_file(spark, folder):
+    graph = estate(spark, folder)
+    return T.blast_counts(graph.edges, graph.nodes.where("entity_type = 'file'").select(F.col("node_id").alias("root")), 4)
+
+
 @query("dependency_tree", _graph_check("""
 , tree(root, depth, parent, node, relationship_type, path) as (
   select root, 0, cast(null as varchar), root, cast(null as varchar), [root] from roots union all
@@ -441,6 +452,28 @@ def shortest_path(spark, folder):
     return found.withColumn("path", F.array_join("path", ">"))
 
 
+_FAR = """
+, calls as (select src, dst from edges where relationship_type = 'calls'),
+heads as (select src as a from calls where src not in (select dst from calls)),
+trail(a, node, path) as (select a, a, [a] from heads union all select t.a, c.dst, list_append(t.path, c.dst) from trail t join calls c on c.src = t.node)
+select a as src, node as dst, len(path) - 1 as length, array_to_string(path, '>') as path from trail where len(path) > 10 and node not in (select src from calls)
+"""
+
+
+@query("shortest_path_far", with_inputs("with" + _FAR.strip()[1:], "edges", recursive=True))
+def shortest_path_far(spark, folder):
+    """From the first to the last function of every chain of calls with ten steps or more, over all edges."""
+    edges = estate(spark, folder).edges
+    calls = edges.where("relationship_type = 'calls'").select("src", "dst")
+    heads = calls.select("src").join(calls.select(F.col("dst").alias("src")), "src", "left_anti").distinct()
+    owner = load(spark, folder, "commits").select(F.concat(F.lit("function:"), F.col("hash")).alias("function"), F.col("author"))
+    ends = calls.select(F.col("dst").alias("last")).join(calls.select(F.col("src").alias("last")), "last", "left_anti").distinct()
+    first = heads.join(owner, heads["src"] == owner["function"]).select("src", "author")
+    last = ends.join(owner, ends["last"] == owner["function"]).select(F.col("last").alias("dst"), "author")
+    found = T.shortest_path(edges, first.join(last, "author").select("src", "dst"), 64)
+    return found.where("length >= 10").withColumn("path", F.array_join("path", ">"))
+
+
 _ALL_PATHS = _ASKED + """, trails(a, b, node, path) as (
   select a, b, a, [a] from asked where a <> b union all
   select t.a, t.b, e.dst, list_append(t.path, e.dst) from trails t join (select distinct src, dst from edges) e on e.src = t.node

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sourceloom.operators import catalog as C
 from sourceloom.operators import degrees as D
 from sourceloom.operators import graph_build as G
+from sourceloom.operators import reports as RP
 from sourceloom.operators import rollups as R
 from sourceloom.operators import symbols as X
 from sourceloom.plans.workload.adapters import load, source_graph, source_run, with_inputs
@@ -113,6 +114,18 @@ def run_summary(spark, folder):
     return source_run(spark, folder).summary()
 
 
+@query("analysis_report", _check("""
+select f.repository_id, 'completed' as status, f.files as files_discovered, f.files as total_files, 3 * (f.files - f.folders) as functions, i.imports,
+  concat('Python=', f.files) as languages
+from (select repository_id, count(*) + count(distinct pkg) as files, count(distinct pkg) as folders from o group by repository_id) f
+join (select repository_id, count(*) as imports from imps group by repository_id) i on i.repository_id = f.repository_id"""))
+def analysis_report(spark, folder):
+    run = source_run(spark, folder)
+    return RP.analysis_report(run.summary(), run.metrics(), run.languages(), run.warnings).select(
+        "repository_id", "status", "files_discovered", "total_files", "functions", "imports",
+        F.expr("array_join(transform(language_list, l -> concat(l.language, '=', l.file_count)), ',')").alias("languages"))
+
+
 @query("import_frequency", _check("""
 select repository_id, case when imported_name is null then module else concat(module, '.', imported_name) end as target,
   case when level > 0 then 'internal' else 'external' end as scope, count(*) as import_count from imps group by 1, 2, 3"""))

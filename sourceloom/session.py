@@ -108,6 +108,13 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return out
 
 
+def stored_observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``stored``, with aggregate ``metrics`` measured by the job that writes the table."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[metric.alias(key) for key, metric in metrics.items()]), name)
+    return out, dict(seen.get)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` returned, once nothing that is still to be computed reads them. Other frames are left alone."""
     for table in tables:

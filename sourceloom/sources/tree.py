@@ -59,12 +59,12 @@ def describe_files(files: DataFrame, max_bytes: int = V.MAX_FILE_BYTES) -> DataF
             .drop("content"))
 
 
-def collect_warnings(*streams: DataFrame, keep: int = V.KEPT_WARNINGS) -> tuple[DataFrame, DataFrame]:
-    """Union the warning streams; returns (first ``keep`` rows per repository, full counts)."""
+def collect_warnings(*streams: DataFrame, keep: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Union the warning streams; returns (all rows, or the first ``keep`` per repository, and full counts)."""
     everything = streams[0].select("repository_id", "path", "code", "message")
     for stream in streams[1:]:
         everything = everything.unionByName(stream.select("repository_id", "path", "code", "message"))
-    kept = top_per_group(everything, ["repository_id"],
-                         [F.col("path"), F.col("code"), F.col("message")], keep).drop("rank")
+    kept = everything if keep is None else top_per_group(
+        everything, ["repository_id"], [F.col("path"), F.col("code"), F.col("message")], keep).drop("rank")
     counts = everything.groupBy("repository_id").agg(F.count(F.lit(1)).alias("warnings"))
     return kept, counts
