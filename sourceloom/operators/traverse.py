@@ -18,12 +18,10 @@ from pyspark.sql import functions as F
 from sourceloom.functions import fixed_values as V
 from sourceloom.functions import scalars as S
 from sourceloom.functions.ranking import ranked, top_per_group
-from sourceloom.session import cut, cut_counted, cut_observed, small_side, stored, stored_observed
+from sourceloom.session import cut, cut_counted, small_side, stored, stored_observed
 
 #: Links of one root that a task may walk depth first.
 TASK_EDGES = 1_000_000
-#: Steps along found paths that one job takes.
-JOINED = 3
 
 
 def links(edges: DataFrame, direction: str = "outgoing", rel_types=None) -> DataFrame:
@@ -320,14 +318,15 @@ def _meet(step_links: DataFrame, asked: DataFrame, max_depth: int) -> tuple[Data
         there = fresh.select("a", "b", "node", (~F.col("ahead")).alias("ahead")).join(every, keys, "left_semi").select("a", "b").distinct()
         state = open_.join(grown, ["a", "b"]).join(there.withColumn("hit", F.lit(True)), ["a", "b"], "left").select(
             "a", "b", F.expr("if(side, to, p)").alias("p"), F.expr("if(side, q, to)").alias("q"), "side", F.coalesce("hit", F.lit(False)).alias("hit"))
-        state, measured = cut_observed(state, left=F.count_if((~F.col("hit")) & (F.col("p") + F.col("q") < max_depth)))
+        state, measured = stored_observed(state, "path-state", left=F.count_if((~F.col("hit")) & (F.col("p") + F.col("q") < max_depth)))
         met.append(state.where("hit").select("a", "b", "p", "q"))
         if not measured["left"]:
             break
         open_ = state.where(f"not hit and p + q < {max_depth}")
         # the side that grew goes on from its new level, the other one from where it stood
         kept = last.join(open_.select("a", "b", "side"), ["a", "b"]).where("ahead <> side").select(*keys, "depth")
-        last = cut(kept.unionByName(fresh.join(open_.select("a", "b"), ["a", "b"], "left_semi")))
+        # written out: a checkpoint would carry its plan's constraints along, which double each round
+        last = stored(kept.unionByName(fresh.join(open_.select("a", "b"), ["a", "b"], "left_semi")), "path-last")
         open_ = open_.select("a", "b", "p", "q")
     return _union(levels, seen), _union(met, asked.select("a", "b", F.lit(0).alias("p"), F.lit(0).alias("q")).limit(0))
 
@@ -350,19 +349,19 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 6) -> Dat
     longest = met.agg(F.max("p").alias("p"), F.max(F.col("p") + F.col("q")).alias("d")).first()
     current = cut(levels.where("ahead and depth = p").join(far.where("depth = q").select("a", "b", "node"), ["a", "b", "node"], "left_semi").select("a", "b", "node", "depth"))
     useful = [current]
-    for k in range(longest.p):
+    for _ in range(longest.p):
         back = step_links.join(current.withColumnRenamed("node", "dst"), "dst").select("a", "b", F.col("src").alias("node"), (F.col("depth") - 1).alias("depth")).distinct()
         current = back.join(near, ["a", "b", "node", "depth"], "left_semi")
-        current = cut(current) if k % JOINED == JOINED - 1 else current
+        current = cut(current)
         useful.append(current)
     allowed = _union(useful, current).withColumnRenamed("depth", "at").unionByName(far.where("depth < q").select("a", "b", "node", (F.col("p") + F.col("q") - F.col("depth")).alias("at")))
     allowed = stored(allowed, "path-nodes")
     step = met.select("a", "b", F.col("a").alias("node"), F.lit(0).alias("at"))
     steps = [step]
-    for k in range(longest.d):
+    for _ in range(longest.d):
         ahead = step_links.join(step.withColumnRenamed("node", "src"), "src").select("a", "b", F.col("dst").alias("node"), (F.col("at") + 1).alias("at"))
         step = ahead.join(allowed, ["a", "b", "node", "at"], "left_semi").groupBy("a", "b", "at").agg(F.min("node").alias("node")).select("a", "b", "node", "at")
-        step = cut(step) if k % JOINED == JOINED - 1 else step
+        step = cut(step)
         steps.append(step)
     path = F.transform(F.array_sort(F.collect_list(F.struct("at", "node"))), lambda s: s["node"])
     return _union(steps, step).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.max("at").alias("length"), path.alias("path"))
