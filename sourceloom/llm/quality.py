@@ -147,7 +147,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text); ``labels`` has doc_id and ``label`` 0 or 1.
 
-    Labels of held-out rows and null labels are not learned from; at most SAMPLE others are. Null texts count as empty and get a
+    Labels of held-out rows and null labels are not learned from; at most SAMPLE other ids are, each with its greatest label and its
+    row of least measures. Null texts count as empty and get a
     score like any other. Rows keep their number whatever ids repeat or are null; a null id is never held out. Without labels of
     both kinds every score is the share of label 1, or 0.5. An empty table gives no rows. Nothing but the text enters a score.
     """
@@ -160,8 +161,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     rows = stored(texts.mapInArrow(measured, "doc_id long, measures binary"), "measures")
     known = labels.select("doc_id", F.col(label).alias("label")).where("label in (0, 1) and doc_id is not null").where(~held_out())
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SAMPLE)
-    learned = rows.join(F.broadcast(known), "doc_id").select("doc_id", "label", "measures").distinct().toPandas().sort_values(["doc_id", "label", "measures"])
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    learned = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("measures").alias("measures")).toPandas().sort_values("doc_id")
     x = np.frombuffer(b"".join(learned["measures"]), np.float32).reshape(-1, len(NAMES))
     trees = grow(x.astype(float), learned["label"].to_numpy(float))
 
