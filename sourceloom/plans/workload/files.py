@@ -282,6 +282,13 @@ def archive_fingerprints(spark, folder):
     return Z.archive_fingerprints(_archives(spark, folder))
 
 
+@query("archive_fingerprints_bytes", "select concat('archive', doc_id) as repository_id, sha256(text) as archive_sha256, strlen(text) as archive_bytes from documents")
+def archive_fingerprints_bytes(spark, folder):
+    """The same over bytes that SQL has too: packing stamps archives with the time."""
+    documents = table(prepare(spark), folder, "documents")
+    return Z.archive_fingerprints(documents.select(F.concat(F.lit("archive"), "doc_id").alias("repository_id"), F.col("text").cast("binary").alias("content")))
+
+
 # ---- snapshot sinks ------------------------------------------------------------------------
 @query("write_and_load_snapshot", _check("""
 select repository_id, 'run-2' as analysis_run_id, path, language from described where language = 'Markdown'"""))

@@ -632,7 +632,10 @@ def graph_extract(spark, folder):
     return C.graph_extract(graph.nodes, graph.edges, "class", 200)[0].select("node_id", "name")
 
 
-
+@query("graph_extract_edges", _graph_check("select src, dst, relationship_type from edges order by src, dst, relationship_type limit 5000"))
+def graph_extract_edges(spark, folder):
+    graph = estate(spark, folder)
+    return C.graph_extract(graph.nodes, graph.edges, "class", 200)[1].select("src", "dst", "relationship_type")
 
 
 @query("search_nodes", with_inputs("""
