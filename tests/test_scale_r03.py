@@ -36,3 +36,18 @@ def test_plain_expressions_read_as_unparsed():
 
 def test_types_are_not_sorted_before_writing(spark):
     assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) >= 8
+
+
+def test_connected_components_carry_numbers_and_give_smallest_names(spark):
+    from sourceloom.operators import components as K
+
+    rings = [(f"{g}{i}", f"{g}{(i + 1) % 4}") for g in "abc" for i in range(4)]
+    links = rings + rings[:3] + [("a0", "b2"), ("b1", "z"), ("y", "c3"), ("z", "z"), (None, "a0"), ("a0", None)]
+    edges = spark.createDataFrame(links, "src string, dst string")
+    names = [f"{g}{i}" for g in "abc" for i in range(4)] + ["a0", "z", "y", "x", None]
+    nodes = spark.createDataFrame([(n,) for n in names], "node_id string")
+    weak = sorted(((r["node_id"], r["component"]) for r in K.connected_components(nodes, edges).collect()), key=str)
+    expected = {(n, None if n is None else n if n == "x" else "a0" if n[0] in "abz" else "c0") for n in names}
+    assert set(weak) == expected and len(weak) == len(expected)
+    numbers = K._numbered(nodes.select(nodes.node_id.alias("node")).distinct(), "node")
+    assert dict(numbers.dtypes)["id"] == "bigint"
