@@ -51,3 +51,81 @@ def test_connected_components_carry_numbers_and_give_smallest_names(spark):
     assert set(weak) == expected and len(weak) == len(expected)
     numbers = K._numbered(nodes.select(nodes.node_id.alias("node")).distinct(), "node")
     assert dict(numbers.dtypes)["id"] == "bigint"
+
+
+def _digraph(seed, size, links):
+    import random
+
+    rng = random.Random(seed)
+    ids = [f"n{i:02}" for i in range(size)]
+    pairs = sorted({(rng.choice(ids), rng.choice(ids)) for _ in range(links)})
+    seen = {a: {b for x, b in pairs if x == a} for a in ids}
+    for _ in ids:
+        seen = {a: s.union(*[seen[b] for b in s]) for a, s in seen.items()}
+    return ids, pairs, seen
+
+
+def test_many_links_are_peeled_and_walked_one_level_a_job(spark, monkeypatch):
+    """The loops for many links give the components of brute force: a knot, a ring, a path and null ends beside them."""
+    from sourceloom.operators import components as K
+
+    ids, pairs, seen = _digraph(5, 16, 26)
+    path, ring = [f"p{i:02}" for i in range(5)], ["r0", "r1", "r2"]
+    more = list(zip(path, path[1:])) + list(zip(ring, ring[1:] + ring[:1])) + [("r1", "p00"), ("p04", "n00"), (None, "r0")]
+    edges = spark.createDataFrame(pairs + more + pairs[:5], "src string, dst string")
+    want = {a: min(b for b in ids if b in seen[a] and a in seen[b]) for a in ids if any(b != a and b in seen[a] and a in seen[b] for b in ids)} | dict.fromkeys(ring, "r0")
+    monkeypatch.setattr(K, "LARGE_LINKS", 0)
+    got = K.strong_components(edges).collect()
+    assert {r["node"]: r["scc"] for r in got} == want and len(got) == len(want)
+    typed = edges.selectExpr("src", "dst", "'imports' as relationship_type")
+    nodes = spark.createDataFrame([(n, "file") for n in [*ids, *ring]], "node_id string, entity_type string")
+    links = {(a, b) for a, b in pairs + more if a in want and want[a] == want.get(b) and a != b}
+    witness = K.cycles_witness(typed, nodes).collect()
+    assert sum(r["links"] for r in witness) == len(links)
+    assert all(set(zip(r["cycle_path"], r["cycle_path"][1:] + r["cycle_path"][:1])) <= links and r["cycle_path"][0] == min(r["cycle_path"]) for r in witness)
+
+
+def test_cycles_are_met_halfway(spark):
+    """All cycles of two to six nodes of a dense graph, from ways of at most half their length."""
+    import itertools
+
+    from sourceloom.operators import components as K
+
+    ids, pairs, _ = _digraph(7, 8, 60)
+    nodes = spark.createDataFrame([(n, "file" if n < "n04" else "class") for n in ids], "node_id string, entity_type string")
+    edges = spark.createDataFrame([(a, b, "calls") for a, b in pairs], "src string, dst string, relationship_type string")
+    for most in (1, 5, 6):
+        best = {}
+        for length in range(2, most + 1):
+            for ring in itertools.permutations(ids, length):
+                if ring[0] == min(ring) and all(p in pairs for p in zip(ring, ring[1:] + ring[:1])):
+                    best[frozenset(ring)] = min(best.get(frozenset(ring), ring), ring)
+        before = _written(spark, "ways")
+        rows = K.cycles(edges, nodes, most).collect()
+        assert sorted(tuple(r["cycle_path"]) for r in rows) == sorted(best.values())
+        assert all(r["length"] == len(r["cycle_path"]) and r["severity"] == ("high" if r["length"] < 4 else "medium") for r in rows)
+        kinds = {tuple(r["cycle_path"]): r["cycle_type"] for r in rows}
+        assert all(k == ("file" if max(p) < "n04" else "class" if min(p) >= "n04" else "mixed") for p, k in kinds.items())
+        made = _written(spark, "ways") - before
+        assert made and max(len(spark.read.parquet(str(t)).columns) for t in made) <= most // 2 + 2
+
+
+def test_roots_share_wide_rows(spark, monkeypatch):
+    """150 roots are 3 words: a level holds one row a node instead of one for every 64 roots."""
+    from sourceloom.operators import traverse as T
+
+    links = [(f"n{i:03}", f"n{(i * 7 + k) % 150:03}") for i in range(150) for k in (1, 2, 3)]
+    pairs = spark.createDataFrame(links, "src string, dst string")
+    roots = pairs.selectExpr("src as root").distinct()
+    want = {(r["root"], r["node"], r["depth"]) for r in T.reach(pairs, roots, 3, include_root=True).collect()}
+    before = _written(spark, "packed-level")
+    for words in (16, 2, 1):
+        monkeypatch.setattr(T, "ROW_WORDS", words)
+        packed = T.packed_reach(pairs, roots, 3)
+        assert {(r["root"], r["node"], r["depth"]) for r in packed.pairs().collect()} == want
+        counts = {(r["root"], r["depth"]): r["node_count"] for r in packed.counts().collect()}
+        assert counts == {(a, d): sum((x, e) == (a, d) for x, _, e in want) for a, d in {(a, d) for a, _, d in want}}
+        assert {r["root"]: r["depth"] for r in packed.farthest().collect()} == {a: max(d for x, _, d in want if x == a) for a, _, _ in want}
+        if words == 16:
+            made = _written(spark, "packed-level") - before
+            assert made and max(spark.read.parquet(str(t)).groupBy("node").count().agg({"count": "max"}).first()[0] for t in made) <= 2
