@@ -3,6 +3,8 @@
 import ast
 from pathlib import Path
 
+import pyarrow as pa
+
 from sourceloom.operators import symbols as X
 from sourceloom.plans.analysis import analyze, build_graph
 from sourceloom.session import checkpoint_folder
@@ -191,3 +193,40 @@ def test_edges_are_told_apart_by_keys(spark, tmp_path):
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     keys = [line.split("Aggregate [")[1].split("], [")[0] for line in plan.splitlines() if "Aggregate [" in line]
     assert len(keys) == 2 and not any("concat" in key for key in keys)
+
+
+def test_texts_are_made_once_and_after_files_are_spread(spark):
+    raw = spark.range(0, 40, 1, 1).selectExpr(
+        "'r' as repository_id", "concat('p/m', id, if(id % 4 = 3, '.md', '.py')) as path", "cast(concat('import a', id) as binary) as content")
+    run = analyze(raw, parse_partitions=5)
+    plan = X.extract_symbols(run.described)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression"):]
+    assert "MapInArrow" in plan.split("RepartitionByExpression")[0]
+    assert "Dockerfile" not in below and plan.count("concat(import a") == 1
+    assert run.symbols.where("kind = 'import'").count() == 30 and run.files.where("parse_status = 'parsed'").count() == 30
+    assert run.files.where("language = 'Markdown' and parse_status = 'not_applicable'").count() == 10
+
+
+def test_symbols_leave_python_by_kind(monkeypatch):
+    text = ('"""T.\n\n    Indented.\n    """\nimport a, b.c as d\nfrom .. import e\n@f.g\nclass H(i.J[k]):\n    """\tOne line. """\n'
+            "    async def l(self, /, m: 'N' = None, *o, p: int = -1, **q) -> r.S: pass\n"
+            "    class T:\n        def u(self):\n            try: import v\n            except W: import x\n            finally:\n                def y(): pass\n"
+            "match z:\n    case 1: import aa\n")
+    batch = pa.RecordBatch.from_pydict({"repository_id": ["r"] * 4, "path": ["a.py", "b.py", "c.md", "d.py"], "text": [text, "def (", None, ""]})
+    for rows in (1, 500):
+        monkeypatch.setattr(X, "BATCH_ROWS", rows)
+        batches = list(X._parse_batches(iter([batch])))
+        assert all(len(set(b.column("kind").to_pylist())) == 1 for b in batches)
+        found = [row for b in batches for row in b.to_pylist()]
+        assert {(r["path"], r["kind"]) for r in found if r["path"] != "a.py"} == {("b.py", "error"), ("d.py", "module")}
+        mine = [r for r in found if r["path"] == "a.py"]
+        assert [r["docstring"] for r in mine if r["kind"] == "module"] == [ast.get_docstring(ast.parse(text))]
+        assert {(r["module"], r["imported_name"], r["alias"], r["level"]) for r in mine if r["kind"] == "import"} == {
+            ("a", None, None, 0), ("b.c", None, "d", 0), ("", "e", None, 2), ("v", None, None, 0), ("x", None, None, 0), ("aa", None, None, 0)}
+        assert {(r["name"], *r["class_path"], r["docstring"]) for r in mine if r["kind"] == "class"} == {("H", "One line. "), ("T", "H", None)}
+        functions = {r["name"]: r for r in mine if r["kind"] == "function"}
+        assert {n: r["class_path"] for n, r in functions.items()} == {"l": ["H"], "u": ["H", "T"], "y": ["H", "T"]}
+        assert [tuple(p.values()) for p in functions["l"]["parameters"]] == [
+            ("self", None, None, "positional"), ("m", "'N'", "None", "positional"), ("o", None, None, "vararg"),
+            ("p", "int", "-1", "keyword_only"), ("q", None, None, "kwarg")]
+        assert functions["l"]["is_async"] and functions["l"]["return_type"] == "r.S" and functions["y"]["parameters"] == []
