@@ -40,6 +40,16 @@ def _integers(scale: float, dims: int):
     return run
 
 
+def _sample(plain: DataFrame) -> DataFrame:
+    """The SAMPLE rows with the least (hash of the id, id, row). They are found among hashes and numbers, so that no task hands on
+    SAMPLE whole vectors to have all but a few dropped."""
+    order = F.struct(F.xxhash64("vec_id").alias("hash"), "vec_id", "row")
+    last = plain.select(order.alias("at")).orderBy("at").limit(SAMPLE).agg(F.max("at").alias("at")).first()["at"]
+    if last is None:
+        return plain.limit(0)
+    return plain.where(order <= F.struct(*[F.lit(v).cast("long") for v in last]))
+
+
 def _matrix(rows, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float64).reshape(-1, dims)
 
@@ -121,7 +131,7 @@ def top_k(vectors: DataFrame, k: int = 20, scale: float = 64, query_step: int =
         return empty
     plain = vectors.select("vec_id", "embedding").mapInArrow(_integers(scale, dims), "vec_id long, vector binary")
     plain = stored(plain.withColumn("row", F.monotonically_increasing_id()), "vectors")  # numbered once, as it is stored
-    sample = plain.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toPandas()
+    sample = _sample(plain).select("vector").toPandas()
     if sample.empty:
         return empty
     pivots = choose_pivots(_matrix(sample["vector"], dims), PIVOTS)
@@ -188,10 +198,11 @@ def top_k(vectors: DataFrame, k: int = 20, scale: float = 64, query_step: int =
         return grouped.select("cell", (F.col("cell") * F.lit(1 << 32) + F.col("salt")).alias("block"), F.col("ids").alias("queries"), F.col("vectors").alias("packed"))
 
     asked = plain.where(F.col("vec_id") % query_step == 0).mapInArrow(first_cell, "row long, vec_id long, vector binary, cell int")
-    first = packed(asked).join(blocks.where("salt = 0"), "cell", "left").select("block", "queries", "packed", "ids", "vectors")
+    # sizes are guessed from files: cells and blocks of a query are many times what they are made of, and must never go through the driver
+    first = packed(asked).hint("merge").join(blocks.where("salt = 0"), "cell", "left").select("block", "queries", "packed", "ids", "vectors")
     floors = stored(first.mapInArrow(floor_scores, "block long, queries binary, packed binary, floors binary"), "floors")
     pairs = floors.mapInArrow(expanded, "cell int, salts int, queries binary, packed binary, floors binary")
-    pairs = pairs.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).join(blocks, ["cell", "salt"])
+    pairs = pairs.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).hint("merge").join(blocks, ["cell", "salt"])
     found = pairs.select("queries", "packed", "floors", "ids", "vectors").mapInArrow(scored, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -2,6 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from sourceloom.functions import ranking as R
+from sourceloom.functions import scalars as S
+from sourceloom.operators import graph_build as G
+from sourceloom.plans.analysis import analyze
 from sourceloom.plans.workload import symbols as Q
 
 
@@ -24,3 +28,25 @@ def test_repository_metrics_gives_all_thirteen_totals(spark, tmp_path):
         size, path = min((-len(text.encode()), path) for path, text in own.items())
         assert (row["largest_file_path"], row["largest_file_size"]) == (path, -size)
         assert (row["largest_folder_path"], row["largest_folder_size"]) == ("", sum(len(text.encode()) for text in own.values()))
+
+
+def test_pivots_are_drawn_from_the_least_hashes(spark, monkeypatch):
+    from sourceloom.llm import topk
+
+    monkeypatch.setattr(topk, "SAMPLE", 5)
+    plain = spark.range(40).selectExpr("id % 20 as vec_id", "id as row", "cast(concat('v', id) as binary) as vector")
+    drawn = topk._sample(plain)
+    wanted = plain.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(5)
+    assert sorted(r["row"] for r in drawn.collect()) == sorted(r["row"] for r in wanted.collect())
+    assert "TakeOrdered" not in drawn._jdf.queryExecution().executedPlan().toString()
+    assert topk._sample(plain.where("id < 0")).count() == 0
+
+
+def test_vectors_are_never_broadcast(spark):
+    from sourceloom.llm import topk
+
+    vectors = spark.range(60).selectExpr("id as vec_id", "array(cast(id % 7 as float), cast(id % 5 as float)) as embedding")
+    found = topk.top_k(vectors, k=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert found.groupBy("query_id").count().where("count = 3").count() == 3
