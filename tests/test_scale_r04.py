@@ -30,6 +30,13 @@ def test_repository_metrics_gives_all_thirteen_totals(spark, tmp_path):
         assert (row["largest_folder_path"], row["largest_folder_size"]) == ("", sum(len(text.encode()) for text in own.values()))
 
 
+def test_jobs_leave_no_shuffle_files(spark):
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    table = spark.range(0, 1000, 1, 4).groupBy((F.col("id") % 7).alias("k")).count()
+    joined = table.join(table.withColumnRenamed("count", "n"), "k")
+    assert joined.count() == joined.count() == len(joined.collect()) == len(joined.collect()) == 7
+
+
 def test_pivots_are_drawn_from_the_least_hashes(spark, monkeypatch):
     from sourceloom.llm import topk
 
