@@ -30,6 +30,30 @@ def test_repository_metrics_gives_all_thirteen_totals(spark, tmp_path):
         assert (row["largest_folder_path"], row["largest_folder_size"]) == ("", sum(len(text.encode()) for text in own.values()))
 
 
+def test_nodes_and_edges_whose_keys_come_once_are_not_dealt_out(spark, monkeypatch):
+    """Same rows by way of every path: no repeated keys, some, and more than may be broadcast; as with all ends looked up."""
+    once = {"p/__init__.py": "", "p/a.py": "import os\nimport p.b\nimport p.b.x\nimport pa\n@p.mark\n@q.mark\nclass A(b.B):\n    def f(self, x: 'B') -> A: pass\n",
+            "p/b.py": "from . import a\nclass B: pass\nif a:\n    class B: pass\n"}
+    rows = [(repo, path, bytearray(text.encode())) for repo in ("r", "s") for path, text in once.items()] + [(None, "p/a.py", bytearray(b"class N: pass"))]
+    twice = rows + [("r", "p/b/__init__.py", bytearray(b"import p.a\nclass B: pass\n")), rows[1], ("s", None, bytearray(b"x = 1"))]
+    for given in (rows, twice):
+        run = analyze(spark.createDataFrame(given, "repository_id string, path string, content binary"))
+        tables = (run.files, run.modules, run.classes, run.functions, run.imports)
+        wanted = None
+        for limit in (100_000, -1):
+            monkeypatch.setattr(R, "BROADCAST_ROWS", limit)
+            nodes = G.build_nodes(*tables)
+            looked_up = G.build_edges(nodes, *tables)
+            known = G.build_edges(nodes, *tables, own_nodes=True)
+            found = [sorted(map(str, frame.collect())) for frame in (nodes, looked_up, known)]
+            assert found[1] == found[2] and len(set(found[0])) == len(found[0]) and len(set(found[1])) == len(found[1])
+            wanted = wanted or found
+            assert found == wanted
+    monkeypatch.undo()
+    unique = spark.range(0, 1000, 1, 4).selectExpr("concat('r', id % 3) as repository_id", "concat('file:', id) as entity_key", "id as place")
+    assert "Exchange" not in R.first_of_repeated(unique, ["repository_id", "entity_key"], F.struct("place"), ["place"])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_jobs_leave_no_shuffle_files(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
     table = spark.range(0, 1000, 1, 4).groupBy((F.col("id") % 7).alias("k")).count()
