@@ -30,6 +30,29 @@ def test_repository_metrics_gives_all_thirteen_totals(spark, tmp_path):
         assert (row["largest_folder_path"], row["largest_folder_size"]) == ("", sum(len(text.encode()) for text in own.values()))
 
 
+def test_paths_and_names_are_taken_apart_as_by_patterns(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    parts = ["a", "bc", "__init__", ".", "..", "/", "//", ".py", ".tar.gz", "\n", "é", "", "__init__.py", "x.__init__", "'", '"', "[", "]"]
+    texts = {"".join(t) for n in range(4) for t in itertools.product(parts, repeat=n)}
+    texts |= {"".join(rng.choice(parts) for _ in range(rng.randint(4, 9))) for _ in range(5000)}
+    table = spark.createDataFrame([(t,) for t in sorted(texts)] + [(None,)], "t string")
+    t = F.col("t")
+    stem = F.regexp_replace(t, r"(?s)^(|.*/)([^/]+)\.[^./]+$", "$1$2")
+    head = F.regexp_extract(t, r"(?s)^(.*)\.[^.]*$", 1)
+    bare = F.regexp_replace(t, "['\"]", "")
+    same = {"folder": (S.folder_path(t), F.regexp_extract(t, r"(?s)^(.*)/[^/]*$", 1)),
+            "module": (S.module_name(t), F.regexp_replace(F.replace(stem, F.lit("/"), F.lit(".")), r"(?s)(.)\.__init__$", "$1")),
+            "package": (S.parent_package(t), F.when(head != "", head)),
+            "type": (S.simple_type_name(t), F.substring_index(F.substring_index(bare, "[", 1), ".", -1))}
+    wrong = [table.where(~a.eqNullSafe(b)).select(F.lit(name), "t", a, b) for name, (a, b) in same.items()]
+    assert [tuple(r) for w in wrong for r in w.limit(5).collect()] == []
+    plan = table.select(*[a for a, _ in same.values()])._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and plan.count("regexp_replace") <= 2
+
+
 def test_nodes_and_edges_whose_keys_come_once_are_not_dealt_out(spark, monkeypatch):
     """Same rows by way of every path: no repeated keys, some, and more than may be broadcast; as with all ends looked up."""
     once = {"p/__init__.py": "", "p/a.py": "import os\nimport p.b\nimport p.b.x\nimport pa\n@p.mark\n@q.mark\nclass A(b.B):\n    def f(self, x: 'B') -> A: pass\n",
